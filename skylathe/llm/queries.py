@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .formatting import copies
+from .mapping import Rules, map_values
+from .packing import pack
 from .terms import count_terms
+from .tokenizer import token_counts, token_ids
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +25,28 @@ def p3_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies(table(spark, d, "aircraft_annotation_datafile"))[1]
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_copies": p3_copies}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    ext, cat = table(spark, d, "problem_extractions_regex"), table(spark, d, "parts_catalog")
+    one = lambda df, name: df.select(F.lit(name).alias("field_name"), "row_id", F.col(name).alias("value"))
+    values = one(ext, "part").unionByName(one(cat, "part_type")).unionByName(one(cat, "part_number"))
+    return map_values(values, table(spark, d, "canonical_items"), {"part": Rules(), "part_type": Rules(), "part_number": Rules(code=True)})
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each field have no entry, and how many have one."""
+    found = p6_found(spark, d)
+    return found.groupBy("field_name").agg(F.count_if(F.col("item_id") == 0).alias("n_unmatched"), F.count_if(F.col("item_id") != 0).alias("n_mapped"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(table(spark, d, "documents")), "doc_id", "n_tokens")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_copies": p3_copies, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 _SPACES = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 _VALUES = " UNION ALL ".join(f"SELECT '{f}' AS field_name, {f} AS raw, {_SPACES.format(c=f)} AS v FROM problem_extractions_regex" for f in ("part", "problem"))
