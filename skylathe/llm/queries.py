@@ -11,6 +11,7 @@ from .mapping import Rules, map_values
 from .packing import pack
 from .terms import count_terms
 from .tokenizer import token_counts, token_ids
+from .truncation import truncated
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +47,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_counts(table(spark, d, "documents")), "doc_id", "n_tokens")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_copies": p3_copies, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the texts of each source that lack their end."""
+    found = truncated(table(spark, d, "documents"))
+    n, c = F.count(F.lit(1)), F.count_if("cut")
+    return found.groupBy("source").agg(n.alias("n_texts"), c.alias("n_truncated"), F.round(c / n, 6).alias("share"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_copies": p3_copies, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_sources": p9_sources}
 
 _SPACES = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 _VALUES = " UNION ALL ".join(f"SELECT '{f}' AS field_name, {f} AS raw, {_SPACES.format(c=f)} AS v FROM problem_extractions_regex" for f in ("part", "problem"))
