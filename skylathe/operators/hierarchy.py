@@ -18,11 +18,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
-from ..session import cut
+from ..session import cut, cut_count
 from .skew import HEAVY_FLOOR, heavy_keys, skew_join
 
 
@@ -73,61 +73,70 @@ class Hierarchy:
         return skew_join(seg, members, ["chain", "pos"], heavy, "inner").select("id", "ancestor", (F.col("depth") - F.col("ancestor_depth")).alias("distance"))
 
 
-def _double(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Subtree sizes of (id, parent) links; the ids on or below loops, if any.
+def _double(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """Sizes of the subtrees of (id, parent) links, less the nodes without descendants; the links left on or
+    below loops, if any, and their number. Sizes are right for the nodes not on or below a loop.
 
-    Sizes are right for the nodes not on or below a loop.
+    Only nodes whose 2^k-th ancestor exists stay in round k. What they pass on to it is kept per round and
+    summed up at the end, so nodes that have run out of ancestors are not carried along.
     """
-    state = cut(links.select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size")))
-    live = state.filter(F.col("jump").isNotNull()).count()
-    while live:
-        add = state.filter(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
-        grown = state.join(add, "id", "left").select("id", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        ahead = state.filter(F.col("jump").isNotNull()).select(F.col("id").alias("at"), F.col("jump").alias("next"))
-        done, open_ = grown.filter(F.col("jump").isNull()), grown.filter(F.col("jump").isNotNull())
-        moved = lookup(open_, "jump", ahead, "at", most=live).select("id", F.col("next").alias("jump"), "size")
-        state = cut(done.unionByName(moved))
-        left = state.filter(F.col("jump").isNotNull()).count()
-        if left == live:  # nobody ran out of ancestors: the rest is on or below loops
-            return state, state.filter(F.col("jump").isNotNull()).select("id")
-        live = left
-    return state, None
+    live, count = cut_count(links.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size")))
+    passed = [live.select(F.col("jump").alias("id"), F.col("size").alias("more"))]
+    while count:
+        given = live.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
+        ahead = live.select(F.col("id").alias("at"), F.col("jump").alias("next"))
+        moved = lookup(live, "jump", ahead, "at", "inner", most=count)
+        moved = moved.join(given, "id", "left").select("id", F.col("next").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        live, left = cut_count(moved)
+        passed.append(live.select(F.col("jump").alias("id"), F.col("size").alias("more")))
+        if left == count:  # nobody ran out of ancestors: the rest is on or below loops
+            break
+        count = left
+    whole = passed[0]
+    for given in passed[1:]:
+        whole = whole.unionByName(given)
+    return whole.groupBy("id").agg(F.sum("more").alias("below")), live.select("id") if count else None, count
+
+
+def _with_size(links: DataFrame, below: DataFrame) -> DataFrame:
+    return links.join(below, "id", "left").select("id", "parent", (F.coalesce("below", F.lit(0)) + 1).alias("size"))
 
 
 def _loops(links: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    """(id, loop_min) of the nodes on loops, given the links of the nodes on or below loops."""
-    jump = links.select("id", F.col("parent").alias("jump"))
-    on = cut(links.select(F.col("parent").alias("id")).distinct())
-    count = on.count()
-    while True:  # images of f, f^2, f^4, ...: their size stays the same once only loops are left
-        twice = lookup(jump, "jump", jump.select(F.col("id").alias("at"), F.col("jump").alias("next")), "at", "inner", most=most)
-        jump = cut(twice.select("id", F.col("next").alias("jump")))
-        on = cut(jump.select(F.col("jump").alias("id")).distinct())
-        now = on.count()
-        if now == count:
-            break
+    """(id, loop_min) of the nodes on loops, given the links of the nodes on or below loops.
+
+    The images of f, f^2, f^4, ... shrink to the nodes on loops and then stay; a node's minimum over the
+    first 2^k nodes of its walk is its loop's once it gets no smaller for any of them.
+    """
+    walk = links.join(names, "id").select("id", F.col("parent").alias("jump"), F.col("name").alias("low"))
+    count = -1
+    while True:
+        ahead = walk.select(F.col("id").alias("at"), F.col("jump").alias("next"), F.col("low").alias("far"))
+        walk = cut(lookup(walk, "jump", ahead, "at", "inner", most=most).select("id", F.col("next").alias("jump"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("less")))
+        on = walk.select(F.col("jump").alias("id")).distinct()
+        now, less = walk.join(on, "id", "left_semi").agg(F.count(F.lit(1)), F.count_if("less")).first()
+        walk = walk.drop("less")
+        if now == count and not less:
+            return walk.join(on, "id", "left_semi").select("id", F.col("low").alias("loop_min"))
         count = now
-    step = cut(links.join(on, "id", "left_semi").join(names, "id").select("id", F.col("parent").alias("jump"), F.col("name").alias("low")))
-    while True:  # on a loop the step is a permutation; stop when no minimum gets smaller
-        far = step.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("low").alias("far_low"))
-        new = cut(step.join(far, "jump").select("id", F.col("next").alias("jump"), F.least("low", "far_low").alias("low"), (F.col("far_low") < F.col("low")).alias("less")))
-        if not new.filter("less").limit(1).count():
-            return new.select("id", F.col("low").alias("loop_min"))
-        step = new.drop("less")
 
 
-def _chains(forest: DataFrame) -> DataFrame:
+def _chains(forest: DataFrame, most: int) -> DataFrame:
     """(id, parent, size, chain, pos) given (id, parent, size): chain is the id of its first node."""
     pick = forest.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("id"))
     heavy = pick.select("id", F.lit(True).alias("follows"))
     state = forest.join(heavy, "id", "left").select("id", "parent", "size", F.when(F.col("follows"), F.col("parent")).alias("up"))
     state = cut(state.withColumn("chain", F.coalesce("up", "id")).withColumn("pos", F.when(F.col("up").isNotNull(), 1).otherwise(0)))
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
-        ahead = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("chain").alias("chain2"), F.col("pos").alias("pos2"))
-        done, open_ = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
-        moved = open_.join(ahead, "up").select("id", "parent", "size", F.col("up2").alias("up"), F.col("chain2").alias("chain"), (F.col("pos") + F.col("pos2")).alias("pos"))
-        state = cut(done.unionByName(moved))
-    return state.select("id", "parent", "size", "chain", "pos")
+    # nodes that have reached the first node of their chain stay as they are; the others look up the node ahead
+    step = state.select("id", F.coalesce("up", "id").alias("up"), "pos", F.col("up").isNull().alias("there"))
+    open_ = most
+    while open_:
+        ahead = step.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("pos").alias("more"), F.col("there").alias("then"))
+        moved = lookup(step.filter(~F.col("there")), "up", ahead, "at", "inner", most=open_).select("id", F.col("next").alias("up"), (F.col("pos") + F.col("more")).alias("pos"), F.col("then").alias("there"))
+        seen = Observation()
+        step = cut(step.filter("there").unionByName(moved).observe(seen, F.count_if(~F.col("there")).alias("open")))
+        open_ = seen.get["open"]
+    return cut(state.select("id", "parent", "size").join(step.select("id", F.col("up").alias("chain"), "pos"), "id"))
 
 
 def _chain_tree(placed: DataFrame, most: int) -> DataFrame:
@@ -146,7 +155,8 @@ def _chain_tree(placed: DataFrame, most: int) -> DataFrame:
             F.when(F.col("up").isNull(), none).otherwise(F.array(seg).cast("array<struct<chain:bigint,upto:int>>")).alias("over"),
         )
     )
-    while hanging := state.filter(F.col("up").isNotNull()).count():
+    hanging = most
+    while hanging:
         ahead = state.select(F.col("chain").alias("at"), F.col("up").alias("up2"), F.col("root_chain").alias("root2"), F.col("chain_depth").alias("depth2"), F.col("over").alias("over2"))
         done, open_ = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
         moved = lookup(open_, "up", ahead, "at", most=hanging).select(
@@ -156,7 +166,9 @@ def _chain_tree(placed: DataFrame, most: int) -> DataFrame:
             (F.col("chain_depth") + F.col("depth2")).alias("chain_depth"),
             F.concat("over2", "over").alias("over"),
         )
-        state = cut(done.unionByName(moved))
+        seen = Observation()
+        state = cut(done.unionByName(moved).observe(seen, F.count("up").alias("hanging")))
+        hanging = seen.get["hanging"]
     return state.select("chain", F.col("root_chain").alias("root"), "chain_depth", "over")
 
 
@@ -170,24 +182,23 @@ def hierarchy(df: DataFrame, parent: str, child: str) -> Hierarchy:
     """
     pairs = df.select(name_key(F.col(parent)).alias("p"), name_key(F.col(child)).alias("c"))
     names = pairs.select(F.col("p").alias("name")).unionByName(pairs.select(F.col("c").alias("name"))).filter("name is not null").distinct()
-    nodes = cut(names.withColumn("id", F.monotonically_increasing_id()))
-    n = nodes.count()
+    nodes, n = cut_count(names.withColumn("id", F.monotonically_increasing_id()))
     one = pairs.filter("c is not null").groupBy("c").agg(F.min("p").alias("p"))
     ids = lookup(one, "p", nodes.select(F.col("name").alias("n"), F.col("id").alias("parent")), "n", most=n)
     links = cut(nodes.join(ids.select(F.col("c").alias("name"), "parent"), "name", "left").select("id", "parent"))
 
-    sized, knotted = _double(links)
+    sized, knotted, tied_count = _double(links)
     loops = None
-    forest = links.join(sized.select("id", "size"), "id").withColumn("below", F.lit(False))
+    forest = _with_size(links, sized).withColumn("below", F.lit(False))
     if knotted is not None:
         tied = cut(links.join(knotted, "id", "left_semi"))
-        loops = _loops(tied, nodes, tied.count())
+        loops = cut(_loops(tied, nodes, tied_count))
         hung = cut(tied.join(loops.select("id", F.lit(True).alias("on_loop")), "id", "left").select("id", F.when(F.col("on_loop").isNull(), F.col("parent")).alias("parent")))
-        hung_size, _ = _double(hung)
+        hung_size, _, _ = _double(hung)
         clear = forest.join(knotted, "id", "left_anti")
-        forest = clear.unionByName(hung.join(hung_size.select("id", "size"), "id").withColumn("below", F.lit(True)))
+        forest = clear.unionByName(_with_size(hung, hung_size).withColumn("below", F.lit(True)))
     forest = cut(forest)
-    placed = _chains(forest.select("id", "parent", "size"))
+    placed = _chains(forest.select("id", "parent", "size"), n)
     tree = _chain_tree(placed, n)
     whole = lookup(placed, "chain", tree.withColumnRenamed("chain", "c"), "c", most=n).join(forest.select("id", "below"), "id")
     depth = F.col("chain_depth") + F.col("pos")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "skylathe", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -40,7 +42,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _write(df: DataFrame) -> DataFrame:
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably in the shared checkpoint folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise as a table in the shared checkpoint folder; survives the loss of executors.
+
+    A written table is computed once, while ``DataFrame.checkpoint`` runs the last stage twice, and later
+    plans read only the columns they need. The tables live as long as the folder.
+    """
+    return _write(df)
+
+
+def cut_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = _write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
