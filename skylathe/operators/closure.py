@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_count
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, backward: bool = False) -> DataFrame:
@@ -23,7 +23,9 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backward: bool = F
         e = e.select(F.col("o").alias("s"), F.col("s").alias("o"))
         seeds = seeds.select(F.col("o").alias("s")) if seeds is not None else None
     e = cut(e)
-    known = cut(e if seeds is None else e.join(seeds.distinct(), "s", "left_semi"))
+    if seeds is None:
+        return _all_pairs(e)
+    known = cut(e.join(seeds.distinct(), "s", "left_semi"))
     delta = known
     step = e.select(F.col("s").alias("o"), F.col("o").alias("next"))
     while delta.limit(1).count():
@@ -32,15 +34,28 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backward: bool = F
     return known.select(F.col("o").alias("s"), F.col("s").alias("o")) if backward else known
 
 
+def _all_pairs(e: DataFrame) -> DataFrame:
+    """From every node: paths double in each round, so the rounds are logarithmic in the longest path."""
+    known = delta = e
+    while delta.limit(1).count():
+        on = lambda d: d.select(F.col("s").alias("o"), F.col("o").alias("next"))
+        longer = delta.join(on(known), "o").select("s", F.col("next").alias("o"))
+        delta = cut(longer.distinct().join(known, ["s", "o"], "left_anti"))
+        known = cut(known.unionByName(delta))
+    return known
+
+
 def superclasses(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Distinct (s, o, depth): each class with each of its superclasses; loops end at the bound ``most``."""
-    e = cut(edges.select("s", "o").filter("s is not null and o is not null").distinct())
-    level, out, n = e.withColumn("depth", F.lit(1)), e.withColumn("depth", F.lit(1)), 1
-    step = e.select(F.col("s").alias("o"), F.col("o").alias("next"))
-    while n < most:
-        n += 1
-        level = cut(level.join(step, "o").select("s", F.col("next").alias("o")).distinct().join(out, ["s", "o"], "left_anti").withColumn("depth", F.lit(n)))
-        if not level.limit(1).count():
+    """Distinct (s, o, depth): each class with each of its superclasses up to ``most`` steps away and the least
+    number of steps. Steps double in each round, so loops and long chains end after log2(most) rounds."""
+    known = cut(edges.select("s", "o").filter("s is not null and o is not null").distinct().withColumn("depth", F.lit(1)))
+    reach, n = 1, -1
+    while reach < most:
+        step = known.select(F.col("s").alias("o"), F.col("o").alias("next"), F.col("depth").alias("more"))
+        longer = known.join(step, "o").select("s", F.col("next").alias("o"), (F.col("depth") + F.col("more")).alias("depth")).filter(F.col("depth") <= most)
+        known, now = cut_count(known.unionByName(longer).groupBy("s", "o").agg(F.min("depth").alias("depth")))
+        reach *= 2
+        if now == n:
             break
-        out = cut(out.unionByName(level))
-    return out
+        n = now
+    return known

@@ -26,7 +26,7 @@ _FLAGS = "(?Uid)"
 
 def clean_log(c: Column, compat_nan: bool = False) -> Column:
     """Dots and then white space off both ends; null stays null, or becomes nan with ``compat_nan``."""
-    s = F.regexp_replace(F.regexp_replace(c, r"^\.+|\.+$", ""), r"(?U)^\s+|\s+$", "")
+    s = F.regexp_replace(F.regexp_replace(c, r"\A\.+|\.+\z", ""), r"(?U)\A\s+|\s+\z", "")
     return F.coalesce(s, F.lit("nan")) if compat_nan else s
 
 
@@ -117,7 +117,7 @@ def extract_actions(logs: DataFrame, classes: DataFrame, tail: int = 50, ident:
 def label_values(c: Column) -> Column:
     """Values of an annotation: split at semicolons if there are any, else at commas; trimmed, filled ones only."""
     v = F.when(F.contains(c, F.lit(";")), F.split(c, ";")).otherwise(F.split(c, ","))
-    return F.filter(F.transform(v, F.trim), lambda x: (x != "") & ~F.lower(x).isin("none", "nan"))
+    return F.filter(F.transform(v, lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")), lambda x: (x != "") & ~F.lower(x).isin("none", "nan"))
 
 
 def batches(df: DataFrame, order: str, size: int = 20) -> DataFrame:

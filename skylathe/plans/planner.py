@@ -52,7 +52,10 @@ class Planner:
 
     def pattern(self, pat: Pattern, bound: Rel | None) -> Rel:
         if isinstance(pat.p, Path):
-            df = self.path(pat.p, self.seed(pat.s, bound, "s"), self.seed(pat.o, bound, "o"))
+            s, o = self.seed(pat.s, bound, "s"), self.seed(pat.o, bound, "o")
+            if isinstance(pat.s, Var) and not isinstance(pat.o, Var):
+                s = None  # a constant end is the better start
+            df = self.path(pat.p, s, o)
             cols = (("s", pat.s), ("o", pat.o))
         elif isinstance(pat.p, Var):
             df = self.scope if self.scope is not None else self.store.triples()
