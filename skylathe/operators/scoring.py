@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.terms import RDFS, is_iri, local_name, match_key, text
 
@@ -158,7 +159,7 @@ def parse_records(replies: DataFrame, reply: str, key: str, fields: str, keep: l
 def respond(df: DataFrame, prompt: str, responder, result: str = "reply") -> DataFrame:
     """A column of replies by a function from a list of prompts to a list of replies, called per batch on the
     workers. Where no model can be reached the responder reads a cache and returns None for a miss."""
-    schema = df.schema.add(result, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(result, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
