@@ -20,7 +20,7 @@ def canonical_text(c: Column) -> Column:
 
     Null and texts without letter or digit give the empty string.
     """
-    bare = F.lower(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N};]+", "")))
+    bare = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N};]+", ""))
     fields = F.filter(F.split(bare, ";"), lambda f: f != "")
     return F.array_join(F.array_sort(fields), ";")
 

@@ -36,6 +36,8 @@ BLOCK = 50_000
 #: Entries below this share of the best cosine are no candidates.
 CANDIDATE_SHARE = 0.5
 CANDIDATE_LEAST = 0.1
+#: Share of its score that an entry keeps when the value has nothing for one of its words.
+PARTIAL = 0.8
 
 
 @dataclass
@@ -217,6 +219,8 @@ class Index:
         norm_m = sum(self.word_weight.get(w, 1.0) ** 2 for w in meant)
         norm_t = sum(used_t[i][1] ** 2 if i in used_t else (0.7 * self.typical) ** 2 for i in range(len(typed)))
         score = dot / math.sqrt(norm_m * norm_t) if dot else 0.0
+        if len(used_m) < len(meant):  # a word of the entry has no counterpart: it may be any entry with the others
+            score *= PARTIAL
         a, b = "".join(typed), self.joined[k]
         if len(b) >= 6:  # words run together or torn apart, slips in more than one word
             most = 3 if len(b) >= 12 else 2
@@ -287,7 +291,7 @@ def map_values(values: DataFrame, lists: DataFrame, rules: dict[str, Rules], blo
     is as close to another one, gets item 0; so does every value if the list is empty. Repeated rows each
     get a row.
     """
-    rows = values.filter(squeeze(F.col("value")) != "")
+    rows = values.select("field_name", "row_id", "value").filter(squeeze(F.col("value")) != "")
     exact = lists.select(F.col("list_name").alias("field_name"), F.col("label").alias("value")).distinct()
     counted = cut(rows.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n")).join(exact, ["field_name", "value"], "left_anti"))
     distinct = counted.select("field_name", "value")

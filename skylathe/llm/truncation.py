@@ -360,7 +360,7 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     Null, empty and white texts are complete. Texts that end with a full stop, a question or exclamation
     mark, a closing bracket or tag, a whole table row or a symbol are complete; so are those whose last
     words end sentences elsewhere. A tail the corpus has no other place for is complete unless it lies at a
-    limit. Repeated rows are judged alike. Sources may be null. Whole texts are read.
+    limit. Rows under one key are judged together. Sources may be null. Whole texts are read.
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     full = rows.filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
@@ -389,5 +389,5 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     all_ = placed.withColumn("limit", limit).join(best, "key", "left").join(prefix, "h", "left")
     # a number at a limit that ends entries inside texts may lack digits; one that ends texts is a closing line
     by_tail = F.when(F.col("share").isNull(), F.col("limit")).otherwise(F.col("share") < F.when(F.col("limit"), END_SHARE_AT_LIMIT).otherwise(END_SHARE)) | F.coalesce("prefix", F.lit(False)) | (F.col("limit") & F.col("number") & F.col("inner"))
-    out = all_.select("key", F.when(F.col("kind") == "tail", by_tail).otherwise(F.col("kind") == "cut").alias("cut"))
+    out = all_.select("key", F.when(F.col("kind") == "tail", by_tail).otherwise(F.col("kind") == "cut").alias("cut")).groupBy("key").agg(F.bool_or("cut").alias("cut"))
     return rows.select("key", "source").join(out, "key", "left").select(F.col("key").alias(key), "source", F.coalesce("cut", F.lit(False)).alias("cut"))
