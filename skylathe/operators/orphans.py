@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from ..session import cut, cut_count
 from .skew import HEAVY_FLOOR, HEAVY_SHARE, heavy_keys, is_heavy
 
 #: End of an open registration.
@@ -96,7 +97,8 @@ def orphan_references(refs: DataFrame, reg: DataFrame, share: float = HEAVY_SHAR
     or ending no later than they start, cover nothing. Repeated references each count. An empty register
     makes every reference an orphan; empty references give no rows.
     """
-    per_day = refs.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n"))
+    per_day = cut(refs.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n")))
+    reg = cut(reg)
     heavy = heavy_keys(per_day, ["key"], "n", share, floor)
     hot = is_heavy(["key"], heavy)
     keep = ["ref_table", "ref_field", "row_id", "key", "at", "day"]
@@ -106,8 +108,8 @@ def orphan_references(refs: DataFrame, reg: DataFrame, share: float = HEAVY_SHAR
     if not heavy:
         return out
     hot_reg = reg.filter(hot)
-    verdict = day_verdicts(per_day.filter(hot), hot_reg)
-    size = verdict.count() + hot_reg.count()
+    verdict, size = cut_count(day_verdicts(per_day.filter(hot), hot_reg))
+    size += hot_reg.count()
     if size <= broadcast_rows:
         rows = refs.filter(hot).join(F.broadcast(verdict), ["key", "day"])
         return out.unionByName(_settle(rows, hot_reg, True).select(*keep))
