@@ -119,18 +119,28 @@ def _kind(body: str, mark: str) -> str:
     return "cut" if ch in OPENERS else "closed"
 
 
-def _follow(text: str, end: int, word: str) -> int:
+def _follow(text: str, end: int) -> int:
     """What comes after a word: 1 the end of a sentence, 2 more of it, 3 the end of the text, 4 unclear."""
     rest = text[end : end + 40]
+    if rest[:1] == " " and rest[1:2].isalnum():
+        return 2
     if not rest.strip():
         return 3
     if SENTENCE_END.match(rest):
         return 1
-    if rest[0] in "\r\n" or rest.lstrip(" ")[:1] in "\r\n":
-        return 1 if LOG_LINE.match(rest) and (word.isupper() or word[0].isdigit()) else 4
+    if rest.lstrip(" ")[:1] in "\r\n":
+        word = _word_before(text, end)
+        return 1 if LOG_LINE.match(rest) and (word.isupper() or word[:1].isdigit()) else 4
     return 2
 
 
+def _word_before(text: str, end: int) -> str:
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "'’-"):
+        start -= 1
+    return text[start:end]
+
+
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -242,6 +252,7 @@ def _stats(texts: list[str], words: _Words, held) -> pd.DataFrame:
     if ids:
         wid, place = np.array(ids), np.array(first)
         full = words.full[wid]
+        follow = np.full(len(wid), -1, dtype=np.int8)  # worked out once for each place that is asked for
         for j in range(CONTEXT + 1):
             if len(wid) <= j:
                 break
@@ -254,7 +265,9 @@ def _stats(texts: list[str], words: _Words, held) -> pd.DataFrame:
                 key = _mix(ctx + words.full[w])
             hit = np.nonzero(held(key))[0]
             keys.append(key[hit])
-            kinds.append(np.array([_follow(bodies[doc[p]], end[p], _raw(bodies[doc[p]], end[p])) for p in pos[hit].tolist()], dtype=np.int8))
+            new = pos[hit][follow[pos[hit]] < 0]
+            follow[new] = [_follow(bodies[doc[p]], end[p]) for p in new.tolist()]
+            kinds.append(follow[pos[hit]])
             # longer words that begin with a tail's word
             for n in range(WORD_COLUMNS):
                 more = words.length[w] > n + 1
@@ -283,13 +296,6 @@ def _stats(texts: list[str], words: _Words, held) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def _raw(body: str, end: int) -> str:
-    start = end
-    while start and (body[start - 1].isalnum() or body[start - 1] in "'’-"):
-        start -= 1
-    return body[start:end] or "x"
-
-
 def _bitmap(hashes: DataFrame, n: int) -> bytes:
     """Bits of a column of hashes ``h``; at most 2^BITS_MOST of them reach the driver."""
     power = min(BITS_MOST, max(BITS_LEAST, (32 * max(1, n)).bit_length()))
