@@ -125,9 +125,20 @@ def slug(c: Column | str) -> Column:
     """A name for an IRI: only word characters, white space and hyphens stay, each run of letters is
     capitalised (after any non-letter), white space goes."""
     clean = F.regexp_replace(_col(c), r"(?U)[^\w\s-]", "")
-    runs = F.regexp_extract_all(clean, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    cased = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r)))))
-    return F.regexp_replace(F.array_join(cased, ""), r"(?U)\s+", "")
+    # a blank behind each character that is no letter makes what follows a word of its own; all blanks go at the end
+    words = F.regexp_replace(clean, r"(?U)([^\p{L}\s])|\s", "$1 ")
+    return F.replace(F.initcap(words), F.lit(" "), F.lit(""))
+
+
+def slug_sql(e: str) -> str:
+    """``slug`` as SQL, for plans of many names: one parse instead of many calls."""
+    clean = f"regexp_replace({e}, r'(?U)[^\\w\\s-]', '')"
+    return f"replace(initcap(regexp_replace({clean}, r'(?U)([^\\p{{L}}\\s])|\\s', '$1 ')), ' ', '')"
+
+
+def has_name_sql(e: str) -> str:
+    """Whether a slug is not empty, told from the label itself."""
+    return f"{e} RLIKE r'(?U)[\\w-]'"
 
 
 def slug_py(value: str) -> str:

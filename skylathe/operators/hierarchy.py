@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
@@ -133,9 +133,8 @@ def _chains(forest: DataFrame, most: int) -> DataFrame:
     while open_:
         ahead = step.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("pos").alias("more"), F.col("there").alias("then"))
         moved = lookup(step.filter(~F.col("there")), "up", ahead, "at", "inner", most=open_).select("id", F.col("next").alias("up"), (F.col("pos") + F.col("more")).alias("pos"), F.col("then").alias("there"))
-        seen = Observation()
-        step = cut(step.filter("there").unionByName(moved).observe(seen, F.count_if(~F.col("there")).alias("open")))
-        open_ = seen.get["open"]
+        step = cut(step.filter("there").unionByName(moved))
+        open_ = step.filter(~F.col("there")).count()
     return cut(state.select("id", "parent", "size").join(step.select("id", F.col("up").alias("chain"), "pos"), "id"))
 
 
@@ -166,9 +165,8 @@ def _chain_tree(placed: DataFrame, most: int) -> DataFrame:
             (F.col("chain_depth") + F.col("depth2")).alias("chain_depth"),
             F.concat("over2", "over").alias("over"),
         )
-        seen = Observation()
-        state = cut(done.unionByName(moved).observe(seen, F.count("up").alias("hanging")))
-        hanging = seen.get["hanging"]
+        state = cut(done.unionByName(moved))
+        hanging = state.filter(F.col("up").isNotNull()).count()
     return state.select("chain", F.col("root_chain").alias("root"), "chain_depth", "over")
 
 

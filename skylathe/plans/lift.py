@@ -20,9 +20,8 @@ def name(local: str, base: str = BASE) -> str:
 
 
 def node(c: Column, base: str = BASE) -> Column:
-    """The IRI of a label; null for a blank one."""
-    s = slug(c)
-    return F.when(s != "", iri(F.concat(F.lit(base), s)))
+    """The IRI of a label; null for one without a word character."""
+    return F.when(c.rlike(r"(?U)[\w-]"), iri(F.concat(F.lit(base), slug(c))))
 
 
 def _emit(df: DataFrame, *triples: tuple) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +36,22 @@ class QuadStore:
 
 
 class MappedStore:
-    """Triples computed from tables: a plan (s, o) for each predicate.
+    """Triples computed from tables: a plan (s, o), or a function that makes it, for each predicate.
 
     A pattern with a bound predicate pulls in that predicate's plan only, so columns and tables that a query
-    does not need are not read.
+    does not need are neither planned nor read.
     """
 
-    def __init__(self, spark: SparkSession, plans: dict[str, DataFrame], name: str = "<urn:mapped>") -> None:
+    def __init__(self, spark: SparkSession, plans: dict[str, DataFrame | Callable[[], DataFrame]], name: str = "<urn:mapped>") -> None:
         self.spark, self.plans, self.name = spark, plans, name
+        self.made: dict[str, DataFrame] = {}
 
     def predicate(self, p: str) -> DataFrame:
         if p in self.plans:
-            return self.plans[p].select("s", "o").distinct()
+            if p not in self.made:
+                plan = self.plans[p]
+                self.made[p] = (plan if isinstance(plan, DataFrame) else plan()).select("s", "o").distinct()
+            return self.made[p]
         return self.spark.createDataFrame([], "s string, o string")
 
     def triples(self) -> DataFrame:
