@@ -48,7 +48,7 @@ class Hierarchy:
     def found(self) -> DataFrame:
         """(function_name, root_name, depth, cycle_state) of every name."""
         named = lookup(self.places.select("id", "root", "state", (F.col("chain_depth") + F.col("pos")).alias("depth")), "root", self.nodes.select(F.col("id").alias("root_id"), F.col("name").alias("root_name")), "root_id", most=self.count)
-        looped = named.join(self.loops.select(F.col("id").alias("root"), "loop_min"), "root", "left") if self.loops is not None else named.withColumn("loop_min", F.lit(None).cast("string"))
+        looped = lookup(named, "root", self.loops, "id", most=self.count) if self.loops is not None else named.withColumn("loop_min", F.lit(None).cast("string"))
         return looped.join(self.nodes, "id").select(
             F.col("name").alias("function_name"),
             F.coalesce("loop_min", "root_name").alias("root_name"),
@@ -57,7 +57,7 @@ class Hierarchy:
         )
 
     def ancestry(self) -> DataFrame:
-        """(id, ancestor, distance) for each node and each of its ancestors and itself.
+        """(id, ancestor, ancestor_name, distance) for each node and each of its ancestors and itself.
 
         Segments are unrolled to (chain, place) and joined with the chains' members, which are unique by
         them. The number of rows is the sum of all depths, which the full result has.
@@ -67,10 +67,10 @@ class Hierarchy:
             self.places.select("id", depth.alias("depth"), F.explode("segments").alias("s"))
             .select("id", "depth", F.col("s.chain").alias("chain"), F.explode(F.sequence(F.lit(0), F.col("s.upto"))).alias("pos"))
         )
-        members = self.places.select("chain", "pos", F.col("id").alias("ancestor"), depth.alias("ancestor_depth"))
+        members = self.places.join(self.nodes, "id").select("chain", "pos", F.col("id").alias("ancestor"), F.col("name").alias("ancestor_name"), depth.alias("ancestor_depth"))
         counts = seg.groupBy("chain", "pos").agg(F.count(F.lit(1)).alias("_c"))
         heavy = heavy_keys(counts, ["chain", "pos"], "_c")
-        return skew_join(seg, members, ["chain", "pos"], heavy, "inner").select("id", "ancestor", (F.col("depth") - F.col("ancestor_depth")).alias("distance"))
+        return skew_join(seg, members, ["chain", "pos"], heavy, "inner").select("id", "ancestor", "ancestor_name", (F.col("depth") - F.col("ancestor_depth")).alias("distance"))
 
 
 def _double(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:

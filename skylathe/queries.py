@@ -37,21 +37,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of each name, from its root (or from the loop's node it hangs on) down to itself."""
     h = hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name")
-    steps = h.ancestry().join(h.nodes.select(F.col("id").alias("ancestor"), F.col("name").alias("step")), "ancestor")
-    paths = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "step"))).alias("p"))
+    step = F.struct((-F.col("distance")).alias("at"), F.col("ancestor_name").alias("step"))
+    paths = h.ancestry().groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("p"))  # as many as the path is long
     return paths.join(h.nodes, "id").select(F.col("name").alias("function_name"), F.array_join(F.transform("p", lambda s: s["step"]), " > ").alias("path"))
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Each name with each name below it and the number of links between; inside a loop only what hangs on a node."""
     h = hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name")
-    pairs = h.ancestry().filter(F.col("distance") > 0)
-    n = h.nodes
-    return (
-        pairs.join(n.select(F.col("id").alias("ancestor"), F.col("name").alias("function_name")), "ancestor")
-        .join(n.select("id", F.col("name").alias("descendant_name")), "id")
-        .select("function_name", "descendant_name", F.col("distance").cast("bigint").alias("distance"))
-    )
+    pairs = h.ancestry().filter(F.col("distance") > 0).join(h.nodes, "id")
+    return pairs.select(F.col("ancestor_name").alias("function_name"), F.col("name").alias("descendant_name"), F.col("distance").cast("bigint").alias("distance"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
