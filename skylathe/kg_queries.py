@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.terms import BASE
 from .kg import Maintenance
+from .operators.extraction import ACTION, PLACE_WORDS
 from .plans.planner import run
 
 PREFIXES = f"PREFIX : <{BASE}> PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> PREFIX dc: <http://purl.org/dc/elements/1.1/>\n"
@@ -66,13 +67,8 @@ def _node(e: str) -> str:
     return f"('{BASE}' || nullif({_slug(e)}, ''))"
 
 
-_LOC_WORDS = ("CYLINDER", "ENGINE", "CYL", "ENG", "#", ",", "&", "(", ")")
-_PLACE = r"(?:(?:L|R)/H (?:ENG )?)?(?:CYL ?)?(?:#?\d(?: ?. \d)*)(?: CYL ?)?"
-_ACTION = rf"^(?:REMOVED & )?(?:RE)?(REPLACED|TIGHTENED|SECURED|ATTACHED|FASTENED|TORQUED|CLEANED|STOP DRILLED) ?({_PLACE})? ?(?:W/ )?(?:NEW )?([^,.]*?\w)S?(?: W/ .*)?(?:[,.] .*)?$"
-
-
 def _location(e: str) -> str:
-    for w in _LOC_WORDS:
+    for w in PLACE_WORDS:
         e = f"replace({e}, '{w}', '')"
     return f"trim(regexp_replace(replace({e}, 'ALL', '1 2 3 4'), '\\s+', ' ', 'g'))"
 
@@ -83,8 +79,8 @@ CTES = {
     "idx": "SELECT * FROM aircraft_annotation_datafile WHERE ident IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ident ORDER BY row_id DESC) = 1",
     "prob": f"SELECT '{BASE}problem-' || id AS ev, * FROM problem_extractions_regex WHERE id IN (SELECT ident FROM idx)",
     "cleaned": r"SELECT ident, action AS log_text, regexp_replace(regexp_replace(regexp_replace(action, '^\.+', ''), '\.+$', ''), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS t FROM idx",
-    "act": f"""SELECT '{BASE}action-' || ident AS ev, ident AS id, log_text, regexp_extract(t, '(?i){_ACTION}', 1) AS action,
- upper(regexp_extract(t, '(?i){_ACTION}', 3)) AS part, {_location(f"regexp_extract(t, '(?i){_ACTION}', 2)")} AS cylinders FROM cleaned WHERE regexp_matches(t, '(?i){_ACTION}')""",
+    "act": f"""SELECT '{BASE}action-' || ident AS ev, ident AS id, log_text, regexp_extract(t, '(?i){ACTION}', 1) AS action,
+ upper(regexp_extract(t, '(?i){ACTION}', 3)) AS part, {_location(f"regexp_extract(t, '(?i){ACTION}', 2)")} AS cylinders FROM cleaned WHERE regexp_matches(t, '(?i){ACTION}')""",
     "kind": "SELECT label, list_extract(string_split(label, ' '), -1) AS k FROM canonical_items WHERE list_name = 'part'",
     "ty": f"""SELECT DISTINCT * FROM (SELECT ev AS s, '{BASE}Problem' AS o FROM prob UNION ALL SELECT ev, {_state('problem')} FROM prob
  UNION ALL SELECT ev, '{BASE}Action' FROM act UNION ALL SELECT ev, {_state('action')} FROM act

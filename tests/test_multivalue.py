@@ -35,3 +35,27 @@ def test_rows_and_nulls(spark):
     got = sorted(tuple(r) for r in explode_values(df, "t", "part", packed_values(F.col("part"))).collect())
     assert got == sorted([("t", "part", 1, 1, "A"), ("t", "part", 1, 2, "B")] * 2)
     assert explode_values(df.limit(0), "t", "part", packed_values(F.col("part"))).count() == 0
+
+
+def test_written_and_read_back(spark):
+    """Values joined with random separators and quotes come back in order."""
+    import random
+
+    rnd = random.Random(8)
+    plain = ["OIL PUMP", "L/H ENG #2", "R/H ENG", "SEAL 1/2 IN", "BAND", "A-B (C)", "x.y"]
+    tricky = ["GASKET, ROCKER", "BOLT; LONG", "SEAL & RING", 'NUT 5/8" AF', "COVER | TOP", "A AND B", "TAB\tIN"]
+    seps = ["; ", ";", ", ", ",", " | ", "|", " & ", " + ", " AND ", " and ", "\n", "\t", " / ", ";;", ", ,", " ;"]
+    rows = []
+    for i in range(400):
+        values = [rnd.choice(plain + tricky) for _ in range(rnd.randint(1, 5))]
+        quote = lambda v: '"' + v.replace('"', '""') + '"' if v in tricky or rnd.random() < 0.2 else v
+        text = values and quote(values[0])
+        for v in values[1:]:
+            text += rnd.choice(seps) + quote(v)
+        text += rnd.choice(["", ";", " ", ","])
+        if rnd.random() < 0.2:
+            text = "[" + ",".join('"' + v.replace('"', '""') + '"' for v in values) + "]"
+        rows.append((i, text, values))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", packed_values(F.col("t")).alias("v")).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: v for i, _, v in rows}
