@@ -6,11 +6,16 @@ node reaches itself only along a loop. Each round is cut by a reliable checkpoin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, cut_count
 
+#: Rounds whose new pairs are kept apart before they are put together.
+PARTS = 8
+
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, backward: bool = False) -> DataFrame:
     """Distinct (s, o) such that o can be reached from s by one or more (s, o) edges.
@@ -25,12 +30,16 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backward: bool = F
     e = cut(e)
     if seeds is None:
         return _all_pairs(e)
-    known = cut(e.join(seeds.distinct(), "s", "left_semi"))
-    delta = known
+    delta, n = cut_count(e.join(seeds.distinct(), "s", "left_semi"))
+    parts = [delta]
     step = e.select(F.col("s").alias("o"), F.col("o").alias("next"))
-    while delta.limit(1).count():
-        delta = cut(delta.join(step, "o").select("s", F.col("next").alias("o")).distinct().join(known, ["s", "o"], "left_anti"))
-        known = cut(known.unionByName(delta))
+    while n:
+        known = reduce(DataFrame.unionByName, parts)
+        delta, n = cut_count(delta.join(step, "o").select("s", F.col("next").alias("o")).distinct().join(known, ["s", "o"], "left_anti"))
+        parts.append(delta)
+        if len(parts) > PARTS:  # else plans grow with the rounds
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    known = reduce(DataFrame.unionByName, parts)
     return known.select(F.col("o").alias("s"), F.col("s").alias("o")) if backward else known
 
 
