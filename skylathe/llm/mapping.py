@@ -181,7 +181,9 @@ class Index:
             for g, c in f.items():
                 postings[g].append((k, c * self.idf[g] / norm))
         self.postings = {g: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
+        self.letters = [frozenset(j) for j in self.joined]
         self.known: dict[tuple[str, str], float] = {}
+        self.results: dict[tuple[str, ...], tuple[int, float, float]] = {}
 
     def cosines(self, words: list[str]) -> np.ndarray:
         acc = np.zeros(len(self.ids))
@@ -224,7 +226,8 @@ class Index:
         a, b = "".join(typed), self.joined[k]
         if len(b) >= 6:  # words run together or torn apart, slips in more than one word
             most = 3 if len(b) >= 12 else 2
-            d = distance(a, b, most)
+            # an edit changes at most two members of the sets of characters
+            d = distance(a, b, most) if score < 0.99 - 1e-9 and len(set(a) ^ self.letters[k]) <= 2 * most else most + 1
             if d <= most:
                 score = max(score, 0.99 - d / len(b))
         return score
@@ -238,6 +241,15 @@ class Index:
         words = [code_of(value)] if self.rules.code else words_of(value, self.rules.noise)
         if not words or not words[0]:
             return 0, 0.0, 0.0
+        key = tuple(words)
+        found = self.results.get(key)
+        if found is None:
+            if len(self.results) > 100_000:
+                self.results.clear()
+            found = self.results[key] = self._best(words)
+        return found
+
+    def _best(self, words: list[str]) -> tuple[int, float, float]:
         cos = self.cosines(words)
         top = cos.max() if len(cos) else 0.0
         if top < CANDIDATE_LEAST:
