@@ -14,7 +14,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def is_filled(c: Column) -> Column:
+    """Neither null nor only white space."""
+    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
 def name_key(c: Column) -> Column:
     """Names that differ only in letter case or white space get one key; blank ones get null."""
-    k = F.lower(squeeze(c))
-    return F.when(k != "", k)
+    return F.when(is_filled(c), F.lower(squeeze(c)))

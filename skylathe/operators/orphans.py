@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key
+from ..functions.text import is_filled, name_key, squeeze
 from ..session import cut, cut_count
 from .skew import HEAVY_FLOOR, HEAVY_SHARE, heavy_keys, is_heavy
 
@@ -35,14 +35,14 @@ SALTS = 32
 def references(df: DataFrame, ref_table: str, ref_field: str, at: str, row_id: str = "row_id") -> DataFrame:
     """(ref_table, ref_field, row_id, key, at, day) of the non-blank references in one column."""
     return (
-        df.select(
+        df.filter(is_filled(F.col(ref_field)))  # on the name itself, so its key is worked out once
+        .select(
             F.lit(ref_table).alias("ref_table"),
             F.lit(ref_field).alias("ref_field"),
             F.col(row_id).cast("bigint").alias("row_id"),
-            name_key(F.col(ref_field)).alias("key"),
+            F.lower(squeeze(F.col(ref_field))).alias("key"),
             F.col(at).alias("at"),
         )
-        .filter(F.col("key").isNotNull())
         .withColumn("day", F.coalesce(F.to_date("at"), F.lit(NO_DAY).cast("date")))
     )
 
