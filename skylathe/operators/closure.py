@@ -54,17 +54,17 @@ def _all_pairs(e: DataFrame) -> DataFrame:
     return known
 
 
-def superclasses(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Distinct (s, o, depth): each class with each of its superclasses up to ``most`` steps away and the least
-    number of steps. Steps double in each round, so loops and long chains end after log2(most) rounds."""
-    known = cut(edges.select("s", "o").filter("s is not null and o is not null").distinct().withColumn("depth", F.lit(1)))
-    reach, n = 1, -1
-    while reach < most:
+def superclasses(edges: DataFrame) -> DataFrame:
+    """Distinct (s, o, depth): each class with each of its superclasses and the least number of steps.
+
+    The reach doubles in each round: a pair further apart has a class on its way that is exactly ``reach`` steps
+    up, so only pairs at that depth are extended. If none is new, no pair lies beyond; loops end so as well."""
+    known, n = cut_count(edges.select("s", "o").filter("s is not null and o is not null").distinct().withColumn("depth", F.lit(1)))
+    reach, before = 1, 0
+    while n > before:
         step = known.select(F.col("s").alias("o"), F.col("o").alias("next"), F.col("depth").alias("more"))
-        longer = known.join(step, "o").select("s", F.col("next").alias("o"), (F.col("depth") + F.col("more")).alias("depth")).filter(F.col("depth") <= most)
-        known, now = cut_count(known.unionByName(longer).groupBy("s", "o").agg(F.min("depth").alias("depth")))
+        longer = known.filter(F.col("depth") == reach).join(step, "o").select("s", F.col("next").alias("o"), (F.col("depth") + F.col("more")).alias("depth"))
+        before = n
+        known, n = cut_count(known.unionByName(longer).groupBy("s", "o").agg(F.min("depth").alias("depth")))
         reach *= 2
-        if now == n:
-            break
-        n = now
     return known

@@ -38,6 +38,14 @@ def test_catalog_closes_the_class_chain(spark):
     assert any(o.startswith('"NaN"') for _, _, o in nan)
 
 
+def test_catalog_closes_a_long_class_chain(spark):
+    classes = spark.createDataFrame([(f"K{i}", f"K{i + 1}") for i in range(80)], "Part string, subClassOf string")
+    cat = spark.createDataFrame([("Sec", "Fig", "P-1", "K0", None)], "Section string, Figure string, `Part Number` string, Type string, Specifics string")
+    t = triples(lift.lift_catalog(cat, classes))
+    assert all((name(f"K{i}"), SUBCLASS, name(f"K{i + 1}")) in t for i in range(80))
+    assert (name("K80"), SUBCLASS, name("Part")) in t
+
+
 def test_function_cross_product(spark):
     fun = spark.createDataFrame([("A", "f1"), ("A", "f2"), ("B", "g1"), ("C", None)], "component string, has_function string")
     sub = spark.createDataFrame([("f1", "f2")], "sub_function_of string, function_name string")

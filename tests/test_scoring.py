@@ -91,6 +91,22 @@ def test_closure_over_a_loop(spark):
     assert up == {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1, ("b", "b"): 2, ("c", "b"): 1, ("c", "c"): 2}
 
 
+def test_superclasses_of_long_chains_and_loops(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(150)] + [("c10", "c40"), ("c120", "end")]
+    loop = [(f"l{i}", f"l{(i + 1) % 97}") for i in range(97)] + [("c5", "l0")]
+    up, want = {}, {}
+    for s, o in chain + loop:
+        up.setdefault(s, set()).add(o)
+    for s in up:
+        level, depth = up[s], 1
+        while level:
+            want.update({(s, o): depth for o in level})
+            level, depth = {x for o in level for x in up.get(o, ()) if (s, x) not in want}, depth + 1
+    got = superclasses(spark.createDataFrame(chain + loop + [(None, "c0")], "s string, o string")).collect()
+    assert {(r["s"], r["o"]): r["depth"] for r in got} == want and len(got) == len(want)
+    assert want[("c0", "c150")] == 121 and want[("l0", "l0")] == 97
+
+
 def test_khop_and_telemetry(spark):
     t = [("<a>", "<p>", "<b>"), ("<b>", "<p>", "<c>"), ("<c>", "<q>", '"x"'), ("<d>", "<p>", "<a>"), ("<e>", "<q>", "_:n"), ("<z>", "<p>", "<z>")]
     df = spark.createDataFrame(t, "s string, p string, o string")
