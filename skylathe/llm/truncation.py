@@ -3,7 +3,7 @@
 A text is found by what its end is a strict prefix of. Three searches over the whole corpus, none with a cap:
 
 1. Copies: texts are sorted; one that is a strict prefix of another is one of its successor.
-2. Tails: the last word with up to three words before it is hashed. Every place of every text whose context is
+2. Tails: the last word with up to three words before it is hashed. Every place of every distinct text whose context is
    that of some tail yields the hashes of the prefixes of its word (hash fixed-length prefixes), so an
    equi-join tells, for each tail, how often the same context is followed by a longer word that begins so,
    by this word inside a sentence, and by this word at a sentence's end. A cut tail is a prefix of longer
@@ -163,8 +163,9 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         c = _context(hashes, j)[-1:]
                         contexts.append(int(c.view(np.int64)[0]))
                         keys.append(int(_mix(c + hashes[-1:]).view(np.int64)[0]))
-            rows.append((key, source, h, kind, len(text), len(text.encode("utf-8", "surrogatepass")), number, contexts, keys))
-        yield pd.DataFrame(rows, columns=["key", "source", "h", "kind", "chars", "bytes", "number", "contexts", "keys"])
+            b_hash = int(np.uint64(_word_hash(body)).view(np.int64))
+            rows.append((key, source, h, kind, len(text), len(text.encode("utf-8", "surrogatepass")), number, contexts, keys, b_hash, body))
+        yield pd.DataFrame(rows, columns=["key", "source", "h", "kind", "chars", "bytes", "number", "contexts", "keys", "b", "body"])
 
 
 def _context(hashes: np.ndarray, j: int) -> np.ndarray:
@@ -206,7 +207,7 @@ class _Words:
 
 
 def _places(bitmap):
-    """For a corpus, the tails' keys found at its places: longer, end, inside, at a text's end."""
+    """For distinct bodies, the tails' keys found at their places: longer, end, inside, at a text's end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(bitmap.value, dtype=np.uint64)
@@ -218,7 +219,7 @@ def _places(bitmap):
 
         words = _Words()
         for b in batches:
-            for texts in _slices(b["text"]):
+            for texts in _slices(b["body"]):
                 if len(words.ids) > 300_000:
                     words = _Words()
                 yield _stats(texts, words, held)
@@ -238,11 +239,9 @@ def _slices(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def _stats(texts: list[str], words: _Words, held) -> pd.DataFrame:
-    ids, doc, end, first, bodies = [], [], [], [], []
-    for k, text in enumerate(texts):
-        body, _ = _body(text)
-        bodies.append(body)
+def _stats(bodies: list[str], words: _Words, held) -> pd.DataFrame:
+    ids, doc, end, first = [], [], [], []
+    for k, body in enumerate(bodies):
         ws, es, _ = _tokens(body)
         ids.extend(map(words.id, ws))
         end.extend(es)
@@ -371,12 +370,14 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     full = rows.filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
     kind = dict(df.dtypes)[key]
-    ends = cut(full.mapInPandas(_ends, f"key {kind}, source string, h bigint, kind string, chars int, bytes int, number boolean, contexts array<bigint>, keys array<bigint>"))
+    ends = cut(full.mapInPandas(_ends, f"key {kind}, source string, h bigint, kind string, chars int, bytes int, number boolean, contexts array<bigint>, keys array<bigint>, b bigint, body string"))
+    # copies of a text, also with other white space or marks at the end, are one: they are no evidence for each other
+    bodies = cut(ends.filter("body <> ''").groupBy("b").agg(F.first("body").alias("body")))
     tails = ends.filter("kind = 'tail'")
 
     hashes = tails.select(F.explode(F.concat("contexts", "keys")).alias("h"))
     shipped = df.sparkSession.sparkContext.broadcast(_bitmap(hashes, tails.count() * 2 * (CONTEXT + 1)))
-    stats = full.select("text").mapInPandas(_places(shipped), "k bigint, longer bigint, ends bigint, inside bigint, last bigint")
+    stats = bodies.select("body").mapInPandas(_places(shipped), "k bigint, longer bigint, ends bigint, inside bigint, last bigint")
     stats = stats.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("longer", "ends", "inside", "last")])
     asked = tails.select("key", F.posexplode("keys").alias("j", "k"))
     hot = heavy_keys(asked.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", floor=floor)

@@ -45,6 +45,14 @@ def test_corpus(spark):
     assert len(got - cut) <= 0.02 * len(rows)
 
 
+def test_copies_do_not_vouch_for_each_other(spark):
+    # seen elsewhere only inside sentences and as the beginning of a longer word
+    others = [(i, f"On day {i} the oil cooler was {w} and signed off.", "s", 1) for i, w in enumerate(["replaced", "replanted", "replaced", "replaced", "replated"])]
+    copies = [(100 + i, "Again the oil cooler was repla" + ("", " ", "\n")[i % 3], "t", 1) for i in range(12)]
+    bare = [(200 + i, f"{who} found that it was all in good order", "u", 1) for i, who in enumerate(["They", "We", "Stores", "Crews"])]
+    assert found(spark, others + copies + bare) == {r[0] for r in copies}
+
+
 def test_limits_decide_unknown_tails(spark):
     rnd = random.Random(2)
     odd = lambda n: ("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) + " ") * (n // 10 + 1)
