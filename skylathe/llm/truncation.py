@@ -2,7 +2,8 @@
 
 A text is found by what its end is a strict prefix of. Three searches over the whole corpus, none with a cap:
 
-1. Copies: texts are sorted; one that is a strict prefix of another is one of its successor.
+1. Copies: texts are sorted; one that is a strict prefix of another is one of its successor. It is cut whatever it
+   ends with, unless the other one begins a new sentence or line there.
 2. Tails: the last word with up to three words before it is hashed. Every place of every distinct text whose context is
    that of some tail yields the hashes of the prefixes of its word (hash fixed-length prefixes), so an
    equi-join tells, for each tail, how often the same context is followed by a longer word that begins so,
@@ -54,6 +55,10 @@ SENTENCE_END = re.compile(r"""\s*(?:[.!?…]+(?=[\s"'”’)\]<]|$)|\n\s*\n|\r?\
 LOG_LINE = re.compile(r"\r?\n(?=[A-Z#]{2,})")
 #: Ends that only a cut leaves: the marker of a list item, a decimal point, an empty check box.
 BARE_MARK = re.compile(r"(?:^|\n)[ \t]*(?:\d+\.|[-*#]+[ \t]*(?:\[[ xX]?\]?)?|[QA]:)$|(?<![\d.,])0\.$")
+#: A sentence is over: its mark, with closing quotes, brackets and tags.
+SENTENCE_OVER = re.compile(r"""[.!?…](?:["'”’»)\]}]|</[^<>]*>)*\Z""")
+#: What makes it go on all the same behind white space: a number that is no list item's.
+NUMBER_NEXT = re.compile(r"\s+\d+(?![\d.)]*[.)](?:\s|\Z))")
 CLOSERS = ".!?|>)]}"
 QUOTES = "\"'”’»"
 OPENERS = ",;:([{<“„«—–+/&°$%#@§"
@@ -163,9 +168,10 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         c = _context(hashes, j)[-1:]
                         contexts.append(int(c.view(np.int64)[0]))
                         keys.append(int(_mix(c + hashes[-1:]).view(np.int64)[0]))
+            whole = text if kind == "tail" and ("\n" in text[len(body) :] or "\r" in text[len(body) :]) else None
             b_hash = int(np.uint64(_word_hash(body)).view(np.int64))
-            rows.append((key, source, h, kind, len(text), len(text.encode("utf-8", "surrogatepass")), number, contexts, keys, b_hash, body))
-        yield pd.DataFrame(rows, columns=["key", "source", "h", "kind", "chars", "bytes", "number", "contexts", "keys", "b", "body"])
+            rows.append((key, source, h, kind, len(text), len(text.encode("utf-8", "surrogatepass")), number, contexts, keys, b_hash, body, whole))
+        yield pd.DataFrame(rows, columns=["key", "source", "h", "kind", "chars", "bytes", "number", "contexts", "keys", "b", "body", "whole"])
 
 
 def _context(hashes: np.ndarray, j: int) -> np.ndarray:
@@ -306,9 +312,20 @@ def _bitmap(hashes: DataFrame, n: int) -> bytes:
 
 
 def _goes_on(text: str, longer: str) -> bool:
-    """Whether a longer text goes on in the same line, with more than punctuation."""
+    """Whether a longer text goes on in the same line, with more than punctuation and not with a new sentence.
+
+    A new sentence follows a sentence's mark and white space, and does not begin with a number; a small letter does
+    not tell, as what follows a whole sentence may begin with one.
+    Behind a letter or digit, or a line end that the text itself still has, all that follows goes on.
+    """
     rest = longer[len(text) :]
-    return rest[:1] not in "\r\n" and any(map(str.isalnum, rest))
+    if rest[:1] in "\r\n" or not any(map(str.isalnum, rest)):
+        return False
+    if text[-1].isalnum() or text[-1].isspace():
+        return True
+    if rest.lstrip(" \t")[0] in "\r\n":
+        return False
+    return not rest[0].isspace() or not SENTENCE_OVER.search(text[-200:]) or bool(NUMBER_NEXT.match(rest))
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,8 +349,13 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(part, "last", h, t) for h, t in open_], columns=["pid", "what", "h", "text"])
 
 
+def _goes_on_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"h": [h for h, text, longer in zip(b["h"], b["text"], b["next"]) if _goes_on(text, longer)]}, dtype="int64")
+
+
 def strict_prefixes(texts: DataFrame) -> DataFrame:
-    """(h) of the texts that another one goes on, in the same line and with more than punctuation.
+    """(h) of the texts that another one goes on (``_goes_on``).
 
     ``texts`` has h, a hash of the text, and text. In sorted order the texts that start with a given one
     follow it, so a stack of open prefixes finds all; a partition's end is compared with the first text of
@@ -345,8 +367,7 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
     # few rows a partition; "first" sorts before "last"
     following = F.min(F.when(F.col("what") == "first", F.struct("pid", "text"))).over(Window.orderBy("pid").rangeBetween(1, Window.unboundedFollowing))
     border = seen.filter("what <> 'prefix'").withColumn("next", following["text"]).filter("what = 'last' and startswith(next, text)")
-    rest = F.substring(F.col("next"), F.length("text") + 1, F.length("next"))
-    across = border.filter(~rest.rlike(r"^[\r\n]") & rest.rlike(r"[\p{L}\p{N}]")).select("h")
+    across = border.select("h", "text", "next").mapInPandas(_goes_on_next, "h bigint")
     return seen.filter("what = 'prefix'").select("h").unionByName(across).distinct()
 
 
@@ -362,7 +383,8 @@ def limits(ends: DataFrame) -> DataFrame:
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", floor: int = HEAVY_FLOOR) -> DataFrame:
     """(key, source, cut): whether each text lacks its end.
 
-    Null, empty and white texts are complete. Texts that end with a full stop, a question or exclamation
+    Null, empty and white texts are complete. A text that another one goes on is not, unless a new sentence or line
+    begins there. Of the others, texts that end with a full stop, a question or exclamation
     mark, a closing bracket or tag, a whole table row or a symbol are complete; so are those whose last
     words end sentences elsewhere. A tail the corpus has no other place for is complete unless it lies at a
     limit. Rows under one key are judged together. Sources may be null. Whole texts are read.
@@ -370,7 +392,7 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     full = rows.filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
     kind = dict(df.dtypes)[key]
-    ends = cut(full.mapInPandas(_ends, f"key {kind}, source string, h bigint, kind string, chars int, bytes int, number boolean, contexts array<bigint>, keys array<bigint>, b bigint, body string"))
+    ends = cut(full.mapInPandas(_ends, f"key {kind}, source string, h bigint, kind string, chars int, bytes int, number boolean, contexts array<bigint>, keys array<bigint>, b bigint, body string, whole string"))
     # copies of a text, also with other white space or marks at the end, are one: they are no evidence for each other
     bodies = cut(ends.filter("body <> ''").groupBy("b").agg(F.first("body").alias("body")))
     tails = ends.filter("kind = 'tail'")
@@ -392,9 +414,13 @@ def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     in_bytes = F.arrays_overlap("at_bytes", F.sequence(F.col("bytes"), F.col("bytes") + 3))  # a character of several bytes may have been dropped
     limit = F.coalesce(F.array_contains("at_chars", F.col("chars")), F.lit(False)) | F.coalesce(in_bytes, F.lit(False))
 
-    prefix = strict_prefixes(full.select("h", "text")).withColumn("prefix", F.lit(True))
-    all_ = placed.withColumn("limit", limit).join(best, "key", "left").join(prefix, "h", "left")
+    # that another text goes on decides, whatever the end looks like; one cut behind a line end is looked up with it too
+    forms = bodies.select(F.col("b").alias("h"), F.col("body").alias("text")).unionByName(ends.filter("whole is not null").select("h", F.col("whole").alias("text")))
+    prefix = cut(strict_prefixes(forms))
+    hit = lambda c: prefix.select(F.col("h").alias(c), F.lit(True).alias(f"prefix_{c}"))
+    longer = F.coalesce("prefix_b", "prefix_h", F.lit(False))
+    all_ = placed.withColumn("limit", limit).join(best, "key", "left").join(hit("b"), "b", "left").join(hit("h"), "h", "left")
     # a number at a limit that ends entries inside texts may lack digits; one that ends texts is a closing line
-    by_tail = F.when(F.col("share").isNull(), F.col("limit")).otherwise(F.col("share") < F.when(F.col("limit"), END_SHARE_AT_LIMIT).otherwise(END_SHARE)) | F.coalesce("prefix", F.lit(False)) | (F.col("limit") & F.col("number") & F.col("inner"))
-    out = all_.select("key", F.when(F.col("kind") == "tail", by_tail).otherwise(F.col("kind") == "cut").alias("cut")).groupBy("key").agg(F.bool_or("cut").alias("cut"))
+    by_tail = F.when(F.col("share").isNull(), F.col("limit")).otherwise(F.col("share") < F.when(F.col("limit"), END_SHARE_AT_LIMIT).otherwise(END_SHARE)) | (F.col("limit") & F.col("number") & F.col("inner"))
+    out = all_.select("key", (longer | F.when(F.col("kind") == "tail", by_tail).otherwise(F.col("kind") == "cut")).alias("cut")).groupBy("key").agg(F.bool_or("cut").alias("cut"))
     return rows.select("key", "source").join(out, "key", "left").select(F.col("key").alias(key), "source", F.coalesce("cut", F.lit(False)).alias("cut"))

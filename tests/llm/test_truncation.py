@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skylathe.llm.truncation import _body, _kind, strict_prefixes, truncated
+from skylathe.llm.truncation import _body, _goes_on, _kind, strict_prefixes, truncated
 
 SUBJECTS = ["The oil cooler", "The front magneto", "A spare drain plug", "The mechanic", "Our inspector"]
 TAILS = ["was replaced after the second flight", "began to smell of hot oil during the climb", "showed a crack along the lower weld", "had been tightened without a torque wrench", "signed the card before the shift ended"]
@@ -77,6 +77,31 @@ def test_prefixes(spark):
     assert strict_prefixes(df.limit(0)).count() == 0
 
 
+def test_longer_copies_decide_for_every_end(spark):
+    pairs = [
+        ("Turn the line (see figure 4, item 53)", " before you lift it.", True), ("Order part No.", " 5 again.", True), ("It took 24.", "5 quarts.", True), ("They called it “so”", " and left.", True), ("Wash it. Dry it.", " 3. Fit it.", False), ("All was dry.", " aargh again.", False), ("Add 3 %", " of oil.", True),
+        ("| a | b |", " c |\n|---|---|---|", True), ("The plug (old one.)", ", was worn.", True), ("Cut \n", "in transfer.", True), ("Held (by hand) \n", "Next item.", False), ("Washed it  ", "twice.", True), ("Held by the...", "", True), ("Held by the clamp.", "", False),
+        ("All was normal.", " A spare pump was ordered.", False), ("Why was it hot?", "\nNobody knows.", False), ("He said “no.”", " “Yes” was better.", False), ("<p>Fine.</p>", " <p>Then not.</p>", False), ("Sealed!", "!!", False),
+    ]
+    rows = [(i, a, "s", 1) for i, (a, _, _) in enumerate(pairs)] + [(100 + i, a + b, "t", 1) for i, (a, b, _) in enumerate(pairs) if b]
+    assert found(spark, rows) == {i for i, (_, _, cut) in enumerate(pairs) if cut}
+
+
+def test_prefixes_across_partitions(spark):
+    texts = [f"{w} (item {i})" for i in range(40) for w in ("Lift", "Turn")]
+    texts += [t + " and hold" for t in texts[::2]] + [t + ". Then go" for t in texts[1::2]] + ["Done.", "Done. Next", "Over.", "Over.more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "h bigint, text string")
+    want = {t for t in texts if any(_goes_on(t, x) for x in texts if x.startswith(t) and x != t)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the ranges apart
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert {texts[r["h"]] for r in strict_prefixes(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "Over." in want and "Done." not in want
+
+
 def test_nulls_blanks_repeats_and_lengths(spark):
     rows = [(1, None, None, 1), (2, "", "s", 1), (3, " \n", "s", 1), (4, "word " * 20000 + "end.", None, 1), (5, "9" * 5000, "s", 1), (6, "same text ends.", "s", 1), (6, "same text ends.", "s", 1), (7, "¶", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, key int")
