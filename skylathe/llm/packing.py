@@ -167,7 +167,8 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, group: in
         "key", "piece", (F.col("q") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("q") * capacity).cast("int").alias("s")
     )
     pieces = cut(pieces)
-    counts = {r["s"]: r["count"] for r in pieces.groupBy("s").count().collect()}  # at most ``capacity`` rows
+    sizes = cut(pieces.groupBy("s").count())  # at most ``capacity`` rows, on the driver as in a broadcast
+    counts = {r["s"]: r["count"] for r in sizes.collect()}
 
     base = 0
     slots: dict[int, list[list[int]]] = {s: [] for s in counts}  # size -> [first rank, first container, items in each]
@@ -179,11 +180,8 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, group: in
         base += step.times
     table = {s: np.array(v, dtype=np.int64) for s, v in slots.items()}
 
-    salts = F.lit(1)
-    for s, c in counts.items():
-        if c > group:
-            salts = F.when(F.col("s") == s, F.lit(-(-c // group))).otherwise(salts)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), salts))
+    salts = F.broadcast(sizes.select("s", F.ceil(F.col("count") / group).alias("salts")))
+    salted = pieces.join(salts, "s").withColumn("salt", F.pmod(F.xxhash64("key", "piece"), "salts")).drop("salts")
     sums = salted.groupBy("s", "salt").count()
     before = Window.partitionBy("s").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("s", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

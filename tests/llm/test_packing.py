@@ -91,6 +91,17 @@ def test_rows(spark, group):
     assert len(load) <= total / 100 * 1.05 + 1
 
 
+@pytest.mark.parametrize(("sizes", "each"), [(2048, 2), (500, 3)])
+def test_every_size_may_be_salted(spark, sizes, each):
+    df = spark.range(sizes * each).selectExpr("id AS doc_id", f"id % {sizes} + 1 AS n_tokens")
+    rows = pack(df, "doc_id", "n_tokens", group=1).collect()
+    load = Counter()
+    for r in rows:
+        load[r["container_id"]] += r["n_tokens"]
+    assert len(rows) == len({r["doc_id"] for r in rows}) == sizes * each
+    assert max(load.values()) <= 2048 and sorted(load) == list(range(len(load)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert pack(df, "doc_id", "n_tokens").count() == 0
