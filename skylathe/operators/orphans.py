@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_filled, name_key, squeeze
 from ..session import cut, cut_count
-from .skew import HEAVY_FLOOR, HEAVY_SHARE, heavy_keys, is_heavy
+from .skew import HEAVY_FLOOR, HEAVY_SHARE, heavy_keys, is_heavy, skew_join
 
 #: End of an open registration.
 OPEN_END = "9999-12-31 00:00:00"
@@ -81,11 +81,16 @@ def _undecided(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("carry").isNull() | F.col("at").isNull() | (F.col("at") >= F.col("carry")))
 
 
-def _settle(rows: DataFrame, reg: DataFrame, small_reg: bool) -> DataFrame:
-    """Rows that no earlier day's registration covers, less those covered by one of the same day."""
+def _settle(rows: DataFrame, reg: DataFrame, small_reg: bool = False, on: tuple[str, ...] = ("key", "day")) -> DataFrame:
+    """Rows that no earlier day's registration covers, less those covered by one of the same day.
+
+    ``on``: the columns both sides share, besides the key and day the salt where they are salted.
+    """
     rows = _undecided(rows)
-    same = reg.select(F.col("key").alias("k"), F.col("day").alias("d"), "start", "end")
-    hit = (F.col("key") == F.col("k")) & (F.col("day") == F.col("d")) & (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))
+    same = reg.select(*[F.col(c).alias(f"_{c}") for c in on], "start", "end")
+    hit = (F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))
+    for c in on:
+        hit = hit & (F.col(c) == F.col(f"_{c}"))
     left = rows.filter(F.col("same_day")).join(F.broadcast(same) if small_reg else same, hit, "left_anti")
     return rows.filter(~F.col("same_day")).unionByName(left)
 
@@ -97,14 +102,14 @@ def orphan_references(refs: DataFrame, reg: DataFrame, share: float = HEAVY_SHAR
     or ending no later than they start, cover nothing. Repeated references each count. An empty register
     makes every reference an orphan; empty references give no rows.
     """
+    keep = ["ref_table", "ref_field", "row_id", "key", "at", "day"]
     per_day = cut(refs.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n")))
     reg = cut(reg)
     heavy = heavy_keys(per_day, ["key"], "n", share, floor)
     hot = is_heavy(["key"], heavy)
-    keep = ["ref_table", "ref_field", "row_id", "key", "at", "day"]
 
     light = day_verdicts(per_day.filter(~hot), reg.filter(~hot))
-    out = _settle(refs.filter(~hot).join(light, ["key", "day"]), reg.filter(~hot), False).select(*keep)
+    out = _settle(refs.filter(~hot).join(light, ["key", "day"]), reg.filter(~hot)).select(*keep)
     if not heavy:
         return out
     hot_reg = reg.filter(hot)
@@ -113,9 +118,12 @@ def orphan_references(refs: DataFrame, reg: DataFrame, share: float = HEAVY_SHAR
     if size <= broadcast_rows:
         rows = refs.filter(hot).join(F.broadcast(verdict), ["key", "day"])
         return out.unionByName(_settle(rows, hot_reg, True).select(*keep))
-    salted = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = refs.filter(hot).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "day", "salt"]).drop("salt")
-    return out.unionByName(_settle(rows, hot_reg, False).select(*keep))
+    # too many verdicts to broadcast: both joins are salted, and the few sides that are not references are repeated
+    on = ("key", "day", "salt")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = refs.filter(hot).withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_table", "ref_field"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(verdict.withColumn("salt", spread), list(on))
+    return out.unionByName(_settle(rows, hot_reg.withColumn("salt", spread), on=on).select(*keep))
 
 
 def orphan_counts(refs: DataFrame, reg: DataFrame, **kw) -> DataFrame:
@@ -124,8 +132,10 @@ def orphan_counts(refs: DataFrame, reg: DataFrame, **kw) -> DataFrame:
     Whole (key, day) groups are decided by their verdict; only groups in which coverage changes are
     resolved row by row. ``period`` is null for references without a time.
     """
-    groups = refs.groupBy("ref_table", "ref_field", "key", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.count("at").alias("timed")
+    on = ["ref_table", "ref_field", "key", "day"]
+    refs = cut(refs)
+    groups = cut(
+        refs.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.count("at").alias("timed"))
     )
     judged = groups.join(day_verdicts(groups.select("key", "day").distinct(), reg), ["key", "day"])
     all_out = ~F.col("same_day") & (F.col("carry").isNull() | (F.col("timed") == 0) | (F.col("first") >= F.col("carry")))
@@ -134,6 +144,8 @@ def orphan_counts(refs: DataFrame, reg: DataFrame, **kw) -> DataFrame:
     decided = judged.filter(all_out | all_in).select("ref_table", "ref_field", period, "n", F.when(all_out, F.col("n")).otherwise(F.lit(0)).alias("o"))
     open_days = judged.filter(~(all_out | all_in))
     rest = open_days.select("ref_table", "ref_field", period, "n", F.lit(0).cast("bigint").alias("o"))
-    rows = orphan_references(refs.join(open_days.select("ref_table", "ref_field", "key", "day"), ["ref_table", "ref_field", "key", "day"], "left_semi"), reg, **kw)
+    # one row a group on the right, so hot groups are spared the shuffle
+    heavy = heavy_keys(groups, on, "n", kw.get("share", HEAVY_SHARE), kw.get("floor", HEAVY_FLOOR))
+    rows = orphan_references(skew_join(refs, open_days.select(*on), on, heavy, "left_semi"), reg, **kw)
     rows = rows.select("ref_table", "ref_field", period, F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("o"))
     return decided.unionByName(rest).unionByName(rows).groupBy("ref_table", "ref_field", "period").agg(F.sum("n").cast("bigint").alias("n_refs"), F.sum("o").cast("bigint").alias("n_orphans"))

@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from skylathe.operators.orphans import orphan_counts, orphan_references, references, registrations
+from skylathe.session import cut
 
 T0 = datetime(2023, 1, 1)
 
@@ -52,6 +55,26 @@ def test_counts_agree_with_rows(spark):
     assert any(c["period"] is None for c in counts)
 
 
+@pytest.mark.parametrize("kw", [{"floor": 10}, {"floor": 10, "broadcast_rows": 0}])
+def test_a_hot_day_of_a_hot_key_is_divided(spark, tmp_path, kw):
+    refs, regs = case(5)
+    day = T0 + timedelta(days=9)
+    refs += [(1000 + i, "Hot Part", day + timedelta(seconds=i), "x", "y") for i in range(len(refs))]
+    regs = [g for g in regs if (g[0] or "").split() == ["A", "b"]] + [("hot part", day + timedelta(seconds=290), day + timedelta(seconds=295), 1)]
+    r, g = frames(spark, refs, regs)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the partitions apart
+    try:
+        orphan_references(cut(r.repartition(8, "row_id")), g, **kw).write.parquet(str(tmp_path / "out"))
+        rows = spark.read.parquet(str(tmp_path / "out")).select("row_id", F.input_file_name().alias("p")).collect()  # a file a task
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    counts = orphan_counts(r, g, **kw).collect()
+    want = brute(refs, regs)
+    assert {x["row_id"] for x in rows} == want and sum(c["n_orphans"] for c in counts) == len(want)
+    hot = Counter(x["p"] for x in rows if x["row_id"] >= 1000)
+    assert len(hot) >= 3 and max(hot.values()) < 0.6 * sum(hot.values())
+
+
 def test_bounds_of_a_registration(spark):
     end = T0 + timedelta(days=2)
     refs = [(1, "x", T0, "", ""), (2, "x", end, "", ""), (3, "x", end - timedelta(microseconds=1), "", ""), (4, "x", T0 - timedelta(microseconds=1), "", "")]
