@@ -9,6 +9,7 @@ through an ordinary shuffle join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float = HE
     return [tuple(r[k] for k in keys) for r in top if r["_n"] > share * whole]
 
 
+def _literal(v: object) -> Column:
+    # dates before the year 1000 do not pass the bridge to the JVM as they are
+    return F.lit(f"{v.year:04d}-{v.month:02d}-{v.day:02d}").cast("date") if type(v) is date else F.lit(v)
+
+
 def is_heavy(keys: Sequence[str], heavy: list[tuple]) -> Column:
     """Whether a row's key is one of the listed ones; null keys are not heavy."""
     if not heavy:
@@ -48,7 +54,7 @@ def is_heavy(keys: Sequence[str], heavy: list[tuple]) -> Column:
         for h in heavy:
             one = F.lit(True)
             for k, v in zip(keys, h):
-                one = one & F.col(k).eqNullSafe(F.lit(v))
+                one = one & F.col(k).eqNullSafe(_literal(v))
             test = test | one
     return F.coalesce(test, F.lit(False))
 
