@@ -103,6 +103,7 @@ def orphan_references(refs: DataFrame, reg: DataFrame, share: float = HEAVY_SHAR
     makes every reference an orphan; empty references give no rows.
     """
     keep = ["ref_table", "ref_field", "row_id", "key", "at", "day"]
+    refs = cut(refs.select(*keep))  # read by every branch below; the keys are worked out once
     per_day = cut(refs.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n")))
     reg = cut(reg)
     heavy = heavy_keys(per_day, ["key"], "n", share, floor)
