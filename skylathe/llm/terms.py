@@ -3,10 +3,12 @@
 Every task keeps one burst trie per field and unit: inner nodes branch by character, leaves are small
 containers of suffixes with two counters (occurrences, records) that burst into a node when they grow.
 A full trie is written out as its containers: rows of a prefix and parallel arrays of suffixes and
-counters. How many entries lie below each prefix over all tasks then decides the routes: a prefix is split
-as long as more than ``route_entries`` entries share it. Containers are re-cut along these routes and
-matching subtrees are merged by (route, suffix). A frequent item costs one entry per task, wherever its
-rows lie, so no item is hot; the routes hold about the same number of entries, so no prefix is.
+counters. How many entries lie below each container's prefix over all tasks then decides the routes: the
+shortest prefixes that at most ``route_entries`` entries share. Containers above all routes burst and are
+looked at again; an item too frequent for any route is one by itself. Each route's matching subtrees are
+merged in one trie of bounded size. A frequent item costs one entry per task, wherever its rows lie, so no
+item is hot; the routes hold a bounded number of entries, so no prefix is. Counts, routes and containers are
+tables throughout; what reaches the driver is one number a field.
 """
 
 from __future__ import annotations
@@ -26,15 +28,14 @@ TERM = re.compile("[A-Za-z0-9]+")
 BURST = 256
 #: A task writes its tries out when they hold so many entries (about 50 MB).
 TRIE_ENTRIES = 250_000
-#: A prefix with more entries over all tasks is split by its next character.
-ROUTE_ENTRIES = 200_000
-#: Prefixes are split up to this length; what still lies above the limit there is divided by a hash.
-ROUTE_DEPTH = 12
+#: A prefix with more entries over all tasks is no route; its longer ones may be. A route's trie takes some 10 MB.
+ROUTE_ENTRIES = 50_000
 
 RARE_BELOW = 3
 COMMON_ONE_IN = 20
 
-SCHEMA = "field_name string, unit string, prefix string, suffixes array<string>, totals array<bigint>, records array<bigint>"
+COLUMNS = ["field_name", "unit", "prefix", "closed", "suffixes", "totals", "records"]
+SCHEMA = "field_name string, unit string, prefix string, closed boolean, suffixes array<string>, totals array<bigint>, records array<bigint>"
 
 
 class BurstTrie:
@@ -46,8 +47,9 @@ class BurstTrie:
         self.root: list = [False, {}]  # [is an inner node, its content]
         self.entries = 0
 
-    def add(self, item: str, total: int, records: int) -> None:
-        node, at = self.root, 0
+    def add(self, item: str, total: int, records: int, node: list | None = None, at: int = 0) -> None:
+        """Counts an item, from a node that stands for its first ``at`` characters."""
+        node = node or self.root
         while node[0]:
             if at == len(item):
                 break
@@ -70,6 +72,20 @@ class BurstTrie:
             have[0] += total
             have[1] += records
 
+    def merge(self, prefix: str, suffixes: list[str], totals: list[int], records: list[int]) -> None:
+        """Adds a container: into the matching one, or below the node that has burst in its place."""
+        node, at = self.root, 0
+        while node[0] and at < len(prefix):
+            node, at = node[1].setdefault(prefix[at], [False, {}]), at + 1
+        rest = prefix[at:]
+        for suffix, t, r in zip(suffixes, totals, records):
+            have = None if node[0] else node[1].get(rest + suffix)
+            if have is not None:
+                have[0] += t
+                have[1] += r
+            else:
+                self.add(prefix + suffix, t, r, node, at)
+
     @staticmethod
     def _burst(node: list) -> None:
         parts: dict[str, list] = {}
@@ -99,9 +115,9 @@ def _count(fields: list[str]):
             rows = []
             for (f, u), trie in tries.items():
                 for prefix, held in trie.containers():
-                    rows.append((f, u, prefix, list(held), [c[0] for c in held.values()], [c[1] for c in held.values()]))
+                    rows.append((f, u, prefix, False, list(held), [c[0] for c in held.values()], [c[1] for c in held.values()]))
                 tries[f, u] = BurstTrie()
-            return pd.DataFrame(rows, columns=["field_name", "unit", "prefix", "suffixes", "totals", "records"])
+            return pd.DataFrame(rows, columns=COLUMNS)
 
         for batch in batches:
             for f in fields:
@@ -120,34 +136,59 @@ def _count(fields: list[str]):
     return run
 
 
-def _split_prefixes(tries: DataFrame, route_entries: int) -> set[tuple[str, str, str]]:
-    """Prefixes to be split further. At most ROUTE_DEPTH * entries / route_entries of them exist."""
-    items = tries.select("field_name", "unit", "prefix", F.explode("suffixes").alias("suffix")).select("field_name", "unit", F.concat("prefix", "suffix").alias("item"))
-    cuts = items.select("field_name", "unit", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("item"), F.lit(ROUTE_DEPTH))), lambda k: F.left("item", k))).alias("at"))
-    over = cuts.groupBy("field_name", "unit", "at").count().filter(F.col("count") > route_entries)
-    return {(r["field_name"], r["unit"], r["at"]) for r in over.collect()}
-
-
-def _recut(split: set[tuple[str, str, str]]):
-    """Cuts containers along the routes: the shortest prefix of an item that is not split."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for f, u, prefix, suffixes, totals, records in batch.itertuples(index=False):
-                parts: dict[str, list] = {}
-                for suffix, t, r in zip(suffixes, totals, records):
-                    item, k = prefix + suffix, 0
-                    while k < len(item) and k <= ROUTE_DEPTH and (f, u, item[:k]) in split:
-                        k += 1
-                    part = parts.setdefault(item[:k], [[], [], []])
-                    part[0].append(item[k:])
-                    part[1].append(t)
-                    part[2].append(r)
-                rows.extend((f, u, route, *part) for route, part in parts.items())
-            yield pd.DataFrame(rows, columns=["field_name", "unit", "prefix", "suffixes", "totals", "records"])
-
-    return run
+def _shared(words: list[str]) -> int:
+    """Length of the prefix that all words share."""
+    low, high, n = min(words), max(words), 0
+    while n < len(low) and low[n] == high[n]:
+        n += 1
+    return n
+
+
+def _burst_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each container as those of its next characters, their prefixes lengthened by what the suffixes share. An
+    item that ends at the container's prefix is closed: it cannot be told apart any further."""
+    for batch in batches:
+        rows = []
+        for f, u, prefix, suffixes, totals, records in zip(*[batch[c] for c in COLUMNS if c != "closed"]):
+            parts: dict[str, list] = {}
+            for entry in zip(suffixes, totals, records):
+                parts.setdefault(entry[0][:1], []).append(entry)
+            for first, entries in parts.items():
+                s, t, r = zip(*entries)
+                k = _shared(s)
+                rows.append((f, u, prefix + s[0][:k], not first, [x[k:] for x in s], list(t), list(r)))
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+
+def _routed(tries: DataFrame, route_entries: int) -> DataFrame:
+    """The containers with their ``route``: the shortest prefix that at most ``route_entries`` entries share, or a
+    closed item itself.
+
+    Bursting moves entries below longer prefixes and never takes any from a shorter one, so a prefix once too
+    large stays so, and at the end all containers with an item agree on its route.
+    """
+    at = ["field_name", "unit", "prefix"]
+    up = F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda k: F.left("prefix", k))
+    while True:
+        sizes = tries.groupBy(*at).agg(F.sum(F.size("suffixes")).alias("n"))
+        ups = cut(sizes.select(*at, "n", F.posexplode(up).alias("k", "up")))
+        large = ups.groupBy("field_name", "unit", "up").agg(F.sum("n").alias("n")).filter(F.col("n") > route_entries)
+        route = ups.join(large.drop("n"), ["field_name", "unit", "up"], "left_anti").groupBy(*at).agg(F.min("k").alias("k"))
+        placed = cut(tries.join(route, at, "left").withColumn("route", F.when(F.col("closed"), F.col("prefix")).otherwise(F.left("prefix", "k"))).drop("k"))
+        high = placed.filter("route is null").drop("route")
+        if not high.limit(1).count():
+            return placed
+        tries = cut(placed.filter("route is not null").drop("route").unionByName(high.mapInPandas(_burst_rows, SCHEMA)))
+
+
+def _merge(group: pd.DataFrame) -> pd.DataFrame:
+    """One route's containers in one trie. They hold ``route_entries`` entries at most, or one item's, one a task."""
+    trie = BurstTrie()
+    for c in zip(group["prefix"], group["suffixes"], group["totals"], group["records"]):
+        trie.merge(*c)
+    held = [(prefix + s, *n) for prefix, c in trie.containers() for s, n in c.items()]
+    out = pd.DataFrame(held, columns=["item", "n_total", "n_records"])
+    return out.assign(field_name=group["field_name"].iloc[0], unit=group["unit"].iloc[0])
 
 
 def count_terms(df: DataFrame, fields: list[str], route_entries: int = ROUTE_ENTRIES, rare_below: int = RARE_BELOW, common_one_in: int = COMMON_ONE_IN) -> DataFrame:
@@ -164,17 +205,7 @@ def count_terms(df: DataFrame, fields: list[str], route_entries: int = ROUTE_ENT
     records = F.lit(0).cast("bigint")
     for r in sizes:
         records = F.when(F.col("field_name") == r["field_name"], F.lit(r["n"])).otherwise(records)
-    split = _split_prefixes(tries, route_entries)
-    routed = tries.mapInPandas(_recut(split), SCHEMA) if split else tries.withColumn("suffixes", F.transform("suffixes", lambda s: F.concat("prefix", s))).withColumn("prefix", F.lit(""))
-    entries = routed.select("field_name", "unit", "prefix", F.explode(F.arrays_zip("suffixes", "totals", "records")).alias("e"))
-    entries = entries.select("field_name", "unit", "prefix", F.col("e.suffixes").alias("suffix"), F.col("e.totals").alias("t"), F.col("e.records").alias("r"))
-    # a route that is still too large at the greatest depth, or the only one, is divided by a hash of the suffix
-    whole = F.length("prefix") > ROUTE_DEPTH if split else F.lit(True)
-    entries = entries.withColumn("part", F.when(whole, F.pmod(F.xxhash64("suffix"), F.lit(1024))).otherwise(F.lit(0)))
-    merged = (
-        entries.repartition("field_name", "unit", "prefix", "part")
-        .groupBy("field_name", "unit", "prefix", "part", "suffix")
-        .agg(F.sum("t").alias("n_total"), F.sum("r").alias("n_records"))
-    )
+    routes = _routed(tries, route_entries).groupBy("field_name", "unit", "route")
+    merged = routes.applyInPandas(_merge, "field_name string, unit string, item string, n_total bigint, n_records bigint")
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") * common_one_in > records, "common").otherwise("kept")
-    return merged.select("field_name", "unit", F.concat("prefix", "suffix").alias("item"), "n_total", "n_records", mark.alias("mark"))
+    return merged.select("field_name", "unit", "item", "n_total", "n_records", mark.alias("mark"))

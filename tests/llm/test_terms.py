@@ -60,6 +60,36 @@ def test_flushed_tries_give_the_same(spark):
     assert n == Counter({(f_, u, i): t for f_, u, i, t, _, _ in want})
 
 
+def test_routes_are_small_and_agree(spark):
+    words = ["COMMON LONG PREFIX"] * 3 + [f"COMMON LONG PREFIX {a}{b}" for a in "XY" for b in range(30)] + ["Q", ""]
+    rows = [("part", "value", "", False, [w for w in words[i:] + words[:i]][: 40 + i], [1] * (40 + i), [1] * (40 + i)) for i in range(1, 20)]
+    rows += [("part", "value", "COMMON LONG PREFIX X1", False, ["", "7"], [1, 1], [1, 1])] * 9
+    tries = spark.createDataFrame(rows, M.SCHEMA)
+    placed = M._routed(tries, 15).collect()
+    sizes, of, n = Counter(), {}, Counter()
+    for r in placed:
+        sizes[r["route"], r["closed"]] += len(r["suffixes"])
+        for s, t in zip(r["suffixes"], r["totals"]):
+            item = r["prefix"] + s
+            assert item.startswith(r["route"]) and of.setdefault(item, r["route"]) == r["route"]
+            n[item] += t
+    assert all(k <= 15 or closed for (_, closed), k in sizes.items())
+    assert n == Counter(x for r in rows for x in (r[2] + s for s in r[4]))
+
+
+def test_trie_merges_containers_of_any_depth():
+    rnd = random.Random(8)
+    want, t = Counter(), BurstTrie()
+    for _ in range(6):
+        one, n = BurstTrie(), Counter(f"{rnd.choice(['', 'a', 'ab'])}{rnd.randrange(700)}" for _ in range(rnd.choice([50, 900])))
+        for k, c in n.items():
+            one.add(k, c, 1)
+        want += n
+        for prefix, held in one.containers():
+            t.merge(prefix, list(held), [c[0] for c in held.values()], [c[1] for c in held.values()])
+    assert {p + s: c[0] for p, held in t.containers() for s, c in held.items()} == dict(want) and t.entries == len(want)
+
+
 def test_trie_bursts_and_keeps_ends():
     t = BurstTrie()
     items = [f"{a}{b}" for a in ("", "a", "ab", "abc") for b in range(400)] + ["", "a", "ab"]
