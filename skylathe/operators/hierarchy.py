@@ -44,33 +44,94 @@ class Hierarchy:
     places: DataFrame  #: id, chain, pos, chain_depth, segments, root, state, below, size
     loops: DataFrame  #: id, loop_min (the smallest name on the node's loop)
     count: int  #: number of nodes
+    dropped: DataFrame  #: function_name, parent_name: further parents of functions that have several
 
     def found(self) -> DataFrame:
         """(function_name, root_name, depth, cycle_state) of every name."""
         named = lookup(self.places.select("id", "root", "state", (F.col("chain_depth") + F.col("pos")).alias("depth")), "root", self.nodes.select(F.col("id").alias("root_id"), F.col("name").alias("root_name")), "root_id", most=self.count)
-        looped = lookup(named, "root", self.loops, "id", most=self.count) if self.loops is not None else named.withColumn("loop_min", F.lit(None).cast("string"))
-        return looped.join(self.nodes, "id").select(
+        return self._looped(named).join(self.nodes, "id").select(
             F.col("name").alias("function_name"),
             F.coalesce("loop_min", "root_name").alias("root_name"),
             F.col("depth").cast("bigint").alias("depth"),
             F.col("state").cast("bigint").alias("cycle_state"),
         )
 
-    def ancestry(self) -> DataFrame:
-        """(id, ancestor, ancestor_name, distance) for each node and each of its ancestors and itself.
+    def chains(self) -> DataFrame:
+        """(chain, names): the names of each chain in order. No array is longer than the longest path."""
+        member = self.places.select("id", "chain", "pos").join(self.nodes, "id")
+        return member.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("m")).select("chain", F.transform("m", lambda m: m["name"]).alias("names"))
 
-        Segments are unrolled to (chain, place) and joined with the chains' members, which are unique by
-        them. The number of rows is the sum of all depths, which the full result has.
+    def paths(self, between: str = " > ") -> DataFrame:
+        """(function_name, path): the names from the root, or from the loop's node it hangs on, down to each one.
+
+        What lies above a chain is put together once for the chain, from one piece for each chain above it, of
+        which there are log2(n) at most; the chain's nodes add their part of the chain where they are.
+        """
+        chains = cut(self.chains())
+        above = self.places.filter("pos = 0").select("chain", F.posexplode(F.slice("segments", 1, F.size("segments") - 1)).alias("k", "s")).select("chain", "k", F.col("s.chain").alias("up"), "s.upto")
+        part = lambda upto: F.array_join(F.slice("names", F.lit(1), upto + 1), between)
+        places = cut(above.groupBy("up", "upto").agg(F.count(F.lit(1)).alias("n")))
+        pieces = lookup(places.drop("n"), "up", chains, "chain", "inner", most=self.count).select("up", "upto", part(F.col("upto")).alias("piece"))
+        found = skew_join(above, pieces, ["up", "upto"], heavy_keys(places, ["up", "upto"], "n"), "inner")
+        heads = found.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"))
+        heads = heads.select("chain", F.array_join(F.transform("p", lambda p: p["piece"]), between).alias("head"))
+        whole = chains.join(heads, "chain", "left").select("head", "names", F.posexplode("names").alias("pos", "function_name"))
+        return whole.select("function_name", F.concat_ws(between, "head", part(F.col("pos"))).alias("path"))
+
+    def _chain_names(self, df: DataFrame) -> DataFrame:
+        named = self.nodes.select(F.col("id").alias("head"), F.col("name").alias("chain_name"))
+        return lookup(df, "chain", named, "head")
+
+    def _looped(self, df: DataFrame) -> DataFrame:
+        """``df`` with the smallest name of the loop at or above each node; null where there is none."""
+        if self.loops is None:
+            return df.withColumn("loop_min", F.lit(None).cast("string"))
+        return lookup(df, "root", self.loops, "id", most=self.count)
+
+    def intervals(self) -> DataFrame:
+        """(function_name, chain_kind, chain_name, first, last, n_below): where the functions below each one lie.
+
+        They are those with a row in ``members`` of the same chain and a place from first to last, except the
+        function itself. A chain has the name of its first node. A loop is a chain of one place under its smallest
+        name; a function on it has all functions on and below it, itself included, as a walk along the links has.
         """
-        depth = F.col("chain_depth") + F.col("pos")
-        seg = (
-            self.places.select("id", depth.alias("depth"), F.explode("segments").alias("s"))
-            .select("id", "depth", F.col("s.chain").alias("chain"), F.explode(F.sequence(F.lit(0), F.col("s.upto"))).alias("pos"))
+        ends = self.places.groupBy("chain").agg(F.max("pos").alias("last"))
+        spots = self._looped(self.places.select("id", "chain", "pos", "root", "state", "size"))
+        if self.loops is not None:
+            tied = cut(spots.filter("state > 0").groupBy("loop_min").agg(F.count(F.lit(1)).alias("tied")))
+            spots = spots.join(tied, "loop_min", "left")
+        else:
+            spots = spots.withColumn("tied", F.lit(None).cast("bigint"))
+        on = F.col("state") == 1
+        spots = self._chain_names(lookup(spots, "chain", ends.withColumnRenamed("chain", "c"), "c", most=self.count)).join(self.nodes, "id")
+        return spots.select(
+            F.col("name").alias("function_name"),
+            F.when(on, "loop").otherwise("chain").alias("chain_kind"),
+            F.when(on, F.col("loop_min")).otherwise(F.col("chain_name")).alias("chain_name"),
+            F.when(on, 0).otherwise(F.col("pos")).cast("bigint").alias("first"),
+            F.when(on, 0).otherwise(F.col("last")).cast("bigint").alias("last"),
+            F.when(on, F.col("tied")).otherwise(F.col("size") - 1).cast("bigint").alias("n_below"),
         )
-        members = self.places.join(self.nodes, "id").select("chain", "pos", F.col("id").alias("ancestor"), F.col("name").alias("ancestor_name"), depth.alias("ancestor_depth"))
-        counts = seg.groupBy("chain", "pos").agg(F.count(F.lit(1)).alias("_c"))
-        heavy = heavy_keys(counts, ["chain", "pos"], "_c")
-        return skew_join(seg, members, ["chain", "pos"], heavy, "inner").select("id", "ancestor", "ancestor_name", (F.col("depth") - F.col("ancestor_depth")).alias("distance"))
+
+    def members(self) -> DataFrame:
+        """(function_name, chain_kind, chain_name, place): each function's last place on every chain above it and
+        on its own, log2(n) at most, and on the loop above it or its own."""
+        segments = self.places.select("id", F.explode("segments").alias("s")).select("id", "s.chain", F.col("s.upto").alias("place"))
+        rows = self._chain_names(segments).select("id", F.lit("chain").alias("chain_kind"), "chain_name", "place")
+        if self.loops is not None:
+            tied = self._looped(self.places.filter("state > 0").select("id", "root"))
+            rows = rows.unionByName(tied.select("id", F.lit("loop").alias("chain_kind"), F.col("loop_min").alias("chain_name"), F.lit(0).alias("place")))
+        return rows.join(self.nodes, "id").select(F.col("name").alias("function_name"), "chain_kind", "chain_name", F.col("place").cast("bigint").alias("place"))
+
+    def below(self, functions: DataFrame | None = None) -> DataFrame:
+        """(function_name, descendant_name) of the functions named in ``functions`` (function_name), or of all.
+
+        All pairs are as many as the depths of all functions together; ask for those that are needed.
+        """
+        spans = self.intervals() if functions is None else self.intervals().join(functions.select("function_name").distinct(), "function_name", "left_semi")
+        m = self.members().withColumnRenamed("function_name", "descendant_name")
+        pairs = spans.join(m, ["chain_kind", "chain_name"]).filter("place BETWEEN first AND last AND (chain_kind = 'loop' OR function_name <> descendant_name)")
+        return pairs.select("function_name", "descendant_name")
 
 
 def _double(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
@@ -121,9 +182,11 @@ def _loops(links: DataFrame, names: DataFrame, most: int) -> DataFrame:
         count = now
 
 
-def _chains(forest: DataFrame, most: int) -> DataFrame:
-    """(id, parent, size, chain, pos) given (id, parent, size): chain is the id of its first node."""
-    pick = forest.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("id"))
+def _chains(forest: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(id, parent, size, chain, pos) given (id, parent, size): chain is the id of its first node. Of children with
+    subtrees of one size, the first by name continues the chain."""
+    child = forest.filter(F.col("parent").isNotNull()).join(nodes, "id")
+    pick = child.groupBy("parent").agg(F.min_by("id", F.struct(-F.col("size"), F.col("name"))).alias("id"))
     heavy = pick.select("id", F.lit(True).alias("follows"))
     state = forest.join(heavy, "id", "left").select("id", "parent", "size", F.when(F.col("follows"), F.col("parent")).alias("up"))
     state = cut(state.withColumn("chain", F.coalesce("up", "id")).withColumn("pos", F.when(F.col("up").isNotNull(), 1).otherwise(0)))
@@ -175,13 +238,15 @@ def hierarchy(df: DataFrame, parent: str, child: str) -> Hierarchy:
 
     Names differing only in case or white space are one. Blank children give no information (a named
     parent beside one is still a node); blank parents count only where the child has no named one. Should a
-    child have several named parents, the smallest name counts. Repeated links count once. A child that is
+    child have several named parents, the smallest name counts; the others are given as ``dropped``. Repeated links count once. A child that is
     its own parent is a loop of one. An empty table gives no nodes.
     """
     pairs = df.select(name_key(F.col(parent)).alias("p"), name_key(F.col(child)).alias("c"))
     names = pairs.select(F.col("p").alias("name")).unionByName(pairs.select(F.col("c").alias("name"))).filter("name is not null").distinct()
     nodes, n = cut_count(names.withColumn("id", F.monotonically_increasing_id()))
     one = pairs.filter("c is not null").groupBy("c").agg(F.min("p").alias("p"))
+    others = pairs.filter("c is not null and p is not null").distinct().join(one.select("c", F.col("p").alias("kept")), "c").filter("p <> kept")
+    others = others.select(F.col("c").alias("function_name"), F.col("p").alias("parent_name"))
     ids = lookup(one, "p", nodes.select(F.col("name").alias("n"), F.col("id").alias("parent")), "n", most=n)
     links = cut(nodes.join(ids.select(F.col("c").alias("name"), "parent"), "name", "left").select("id", "parent"))
 
@@ -196,7 +261,7 @@ def hierarchy(df: DataFrame, parent: str, child: str) -> Hierarchy:
         clear = forest.join(knotted, "id", "left_anti")
         forest = clear.unionByName(_with_size(hung, hung_size).withColumn("below", F.lit(True)))
     forest = cut(forest)
-    placed = _chains(forest.select("id", "parent", "size"), n)
+    placed = _chains(forest.select("id", "parent", "size"), nodes, n)
     tree = _chain_tree(placed, n)
     whole = lookup(placed, "chain", tree.withColumnRenamed("chain", "c"), "c", most=n).join(forest.select("id", "below"), "id")
     depth = F.col("chain_depth") + F.col("pos")
@@ -211,4 +276,4 @@ def hierarchy(df: DataFrame, parent: str, child: str) -> Hierarchy:
         F.concat("over", F.array(F.struct(F.col("chain"), F.col("pos").cast("int").alias("upto")))).alias("segments"),
         F.when(~F.col("below"), 0).when(depth == 0, 1).otherwise(2).alias("state"),
     )
-    return Hierarchy(nodes, cut(places), loops, n)
+    return Hierarchy(nodes, cut(places), loops, n, others)

@@ -19,6 +19,13 @@ lo AS (SELECT u.name, min(u.anc) AS low FROM up u JOIN onloop o ON o.name = u.na
 walk(name, anc, dist) AS (SELECT name, name, 0 FROM names UNION ALL SELECT w.name, l.p, w.dist + 1 FROM walk w JOIN links l ON l.c = w.anc WHERE w.anc NOT IN (SELECT name FROM onloop)),
 top AS (SELECT name, max(dist) AS d, max_by(anc, dist) AS root FROM walk GROUP BY name)"""
 
+# sizes of subtrees, the child that continues its parent's chain, chains and places on them
+_CHAINS = f"""{_SETS},
+sz AS (SELECT anc AS name, count(*) AS size FROM walk GROUP BY 1),
+kid AS (SELECT p, c FROM (SELECT l.p, l.c, row_number() OVER (PARTITION BY l.p ORDER BY size DESC, l.c) AS r FROM links l JOIN sz ON sz.name = l.c WHERE l.c NOT IN (SELECT name FROM onloop)) WHERE r = 1),
+ch(name, head, pos) AS (SELECT name, name, 0 FROM names WHERE name NOT IN (SELECT c FROM kid) UNION ALL SELECT k.c, ch.head, ch.pos + 1 FROM ch JOIN kid k ON k.p = ch.name),
+tied AS (SELECT t.name, lo.low FROM top t JOIN lo ON lo.name = t.root)"""
+
 ORACLES = {
     "p1_found": f"SELECT ref_table, ref_field, row_id FROM ({_REFS}) r WHERE k IS NOT NULL AND {_ORPHAN}",
     "p1_orphan_counts": f"""SELECT ref_table, ref_field, strftime(lt, '%Y-%m') AS period, count(*) AS n_refs,
@@ -27,5 +34,10 @@ ORACLES = {
  CAST(CASE WHEN lo.name IS NULL THEN 0 WHEN t.d = 0 THEN 1 ELSE 2 END AS BIGINT) AS cycle_state
  FROM top t LEFT JOIN lo ON lo.name = t.root""",
     "p4_paths": f"""{_SETS} SELECT name AS function_name, string_agg(anc, ' > ' ORDER BY dist DESC) AS path FROM walk GROUP BY name""",
-    "p4_descendants": f"""{_SETS} SELECT anc AS function_name, name AS descendant_name, CAST(dist AS BIGINT) AS distance FROM walk WHERE dist > 0""",
+    "p4_descendants": f"""{_CHAINS} SELECT ch.name AS function_name, 'chain' AS chain_kind, ch.head AS chain_name, CAST(ch.pos AS BIGINT) AS first,
+ CAST(e.last AS BIGINT) AS last, sz.size - 1 AS n_below FROM ch JOIN (SELECT head, max(pos) AS last FROM ch GROUP BY 1) e ON e.head = ch.head
+ JOIN sz ON sz.name = ch.name WHERE ch.name NOT IN (SELECT name FROM onloop)
+ UNION ALL SELECT o.name, 'loop', lo.low, 0, 0, n FROM onloop o JOIN lo ON lo.name = o.name JOIN (SELECT low, count(*) AS n FROM tied GROUP BY 1) k ON k.low = lo.low""",
+    "p4_members": f"""{_CHAINS} SELECT w.name AS function_name, 'chain' AS chain_kind, ch.head AS chain_name, CAST(max(ch.pos) AS BIGINT) AS place
+ FROM walk w JOIN ch ON ch.name = w.anc GROUP BY ALL UNION ALL SELECT name, 'loop', low, 0 FROM tied""",
 }

@@ -36,17 +36,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of each name, from its root (or from the loop's node it hangs on) down to itself."""
-    h = hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name")
-    step = F.struct((-F.col("distance")).alias("at"), F.col("ancestor_name").alias("step"))
-    paths = h.ancestry().groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("p"))  # as many as the path is long
-    return paths.join(h.nodes, "id").select(F.col("name").alias("function_name"), F.array_join(F.transform("p", lambda s: s["step"]), " > ").alias("path"))
+    return hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name").paths()
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each name with each name below it and the number of links between; inside a loop only what hangs on a node."""
-    h = hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name")
-    pairs = h.ancestry().filter(F.col("distance") > 0).join(h.nodes, "id")
-    return pairs.select(F.col("ancestor_name").alias("function_name"), F.col("name").alias("descendant_name"), F.col("distance").cast("bigint").alias("distance"))
+    """For each name the interval of a chain, or the loop, that has all names below it in ``p4_members``."""
+    return hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name").intervals()
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each name's places on the chains and the loop it lies on or below."""
+    return hierarchy(table(spark, d, "subfunction"), "sub_function_of", "function_name").members()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,5 +64,6 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
+    "p4_members": p4_members,
     "p5_found": p5_found,
 }

@@ -54,12 +54,51 @@ def test_hot_parents_are_split(spark, monkeypatch):
     assert found(build(spark, pairs)) == brute(pairs)
 
 
-def test_ancestry_is_complete(spark):
-    pairs = [("a", "b"), ("b", "c"), ("b", "d"), ("d", "e"), ("x", "y"), ("y", "x"), ("y", "w")]
+def closure(pairs):
+    """Pairs of a name and each name that can be reached from it."""
+    key = lambda s: " ".join((s or "").split()).lower()
+    up, names = {}, set()
+    for p, c in pairs:
+        p, c = key(p), key(c)
+        names |= {x for x in (p, c) if x}
+        if p and c:
+            up[c] = min(p, up.get(c, p))
+    out = set()
+    for n in names:
+        x, seen = n, set()
+        while x in up and up[x] not in seen:
+            x = up[x]
+            seen.add(x)
+        out |= {(a, n) for a in seen}
+    return out
+
+
+FORESTS = [
+    [("a", "b"), ("b", "c"), ("b", "d"), ("d", "e"), ("x", "y"), ("y", "x"), ("y", "w")],
+    [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "z"), ("s", "s"), ("s", "t"), (None, "lone"), ("m", "u"), ("n", "u"), ("M ", "U")],
+    [(f"n{(i * 7) % max(1, i - 1 - i % 5)}", f"n{i}") for i in range(2, 70)] + [(f"d{i}", f"d{i + 1}") for i in range(20)] + [("d9", f"e{i}") for i in range(5)],
+]
+
+
+@pytest.mark.parametrize("pairs", FORESTS)
+def test_descendants_and_paths(spark, pairs):
     h = build(spark, pairs)
-    name = {r["id"]: r["name"] for r in h.nodes.collect()}
-    got = {(name[r["ancestor"]], name[r["id"]], r["distance"]) for r in h.ancestry().collect() if r["distance"]}
-    assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("a", "e", 3), ("b", "c", 1), ("b", "d", 1), ("b", "e", 2), ("d", "e", 1), ("y", "w", 1)}
+    want = closure(pairs)
+    below = [tuple(r) for r in h.below().collect()]
+    assert len(below) == len(set(below)) and set(below) == want
+    n = {r["function_name"]: r["n_below"] for r in h.intervals().collect()}
+    assert {k: v for k, v in n.items() if v} == {a: sum(1 for x, _ in want if x == a) for a, _ in want}
+    found_, paths = brute(pairs), {r["function_name"]: r["path"].split(" > ") for r in h.paths().collect()}
+    assert set(paths) == set(found_) and h.paths().count() == len(paths)
+    for name, p in paths.items():
+        assert p[-1] == name and len(p) == found_[name][1] + 1 and all((a, b) in want for a, b in zip(p, p[1:]))
+    some = spark.createDataFrame([("b",), ("b",)], "function_name string")
+    assert {tuple(r) for r in h.below(some).collect()} == {x for x in want if x[0] == "b"}
+
+
+def test_further_parents_are_returned(spark):
+    assert [tuple(r) for r in build(spark, FORESTS[1]).dropped.collect()] == [("u", "n")]
+    assert build(spark, FORESTS[0]).dropped.count() == 0
 
 
 def test_segments_are_few(spark):
