@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from skylathe.llm.truncation import _body, _goes_on, _kind, strict_prefixes, truncated
+from skylathe.llm import truncation as M
+from skylathe.llm.truncation import _body, _goes_on, _tail, strict_prefixes, tail_statistics, truncated
 
 SUBJECTS = ["The oil cooler", "The front magneto", "A spare drain plug", "The mechanic", "Our inspector"]
 TAILS = ["was replaced after the second flight", "began to smell of hot oil during the climb", "showed a crack along the lower weld", "had been tightened without a torque wrench", "signed the card before the shift ended"]
@@ -63,18 +64,88 @@ def test_limits_decide_unknown_tails(spark):
 
 @pytest.mark.parametrize(
     ("text", "kind"),
-    [("Done.", "closed"), ("Done.  \n", "closed"), ("Why?", "closed"), ("the wor", "tail"), ("the wor-", "cut"), ("and then,", "cut"), ("x\n10.", "cut"), ("larger than 0.", "cut"), ("week 2.", "closed"), ("- [x] a\n- [ ]", "cut"), ("a | b |\n|---|---|\n| 1 | 2 |", "closed"), ("| a | b |\n| 1 |", "cut"), ("said “so.”", "closed"), ("said “so,”", "cut"), ("ok ✅", "closed"), ("<p>x</p>", "closed"), ("", "closed"), ("…", "closed"), ("(see", "tail"), ("value <", "cut")],
+    [("Done.", "none"), ("Done.  \n", "none"), ("Why?", "none"), ("the wor", "word"), ("the wor-", "word"), ("and then,", "signs"), ("x\n10.", "signs"), ("- [x] a\n- [ ]", "signs"), ("said “so.”", "none"), ("ok ✅", "signs"), ("<p>x.</p>", "signs"), ("", "none"), ("…", "none"), ("(see", "word"), ("value <", "signs"), ("50%", "signs")],
 )
 def test_kinds(text, kind):
-    assert _kind(*_body(text)) == kind
+    assert _tail(_body(text)[0])[0] == kind
+
+
+def test_signs_are_cut_only_by_evidence(spark):
+    odd = ["The share rose to a total of 50%", "Written in C#", "Price in dollars: 100 $", "It held,", "| a | b |\n| 1 |", "Set to <", "x\n10.", "Then the hose-"]
+    assert found(spark, [(i, t, "s", 1) for i, t in enumerate(odd)]) == set()
+    # what the corpus goes on behind, and what it ends with
+    more = [(100 + i, f"On day {i} it held, then it broke. The gauge read {i} % and stayed there.", "s", 1) for i in range(8)]
+    more += [(200 + i, f"The loss came to {i}%", "s", 1) for i in range(4)]
+    more += [(300, "The seal held,", "s", 1), (301, "The gauge read 9 %", "s", 1), (302, "The loss came to 61%", "s", 1)]
+    assert found(spark, more) == {300, 301}
+
+
+def text_rows(spark, texts, parts=None):
+    df = spark.createDataFrame([(M._text_hash(t), t) for t in texts], "h binary, text string")
+    return df.repartition(parts) if parts else df
+
+
+def prefixes(spark, texts):
+    name = {M._text_hash(t): t for t in texts}
+    return {name[bytes(r["h"])] for r in strict_prefixes(text_rows(spark, texts)).collect()}
 
 
 def test_prefixes(spark):
     texts = ["abc", "abc def", "abc.", "abc.\nCard", "ab", "x", "x", "yy\nz", "yy", "p. More", "p", "q.", "q"]
-    df = spark.createDataFrame([(hash(t) % 10**9, t) for t in texts], "h bigint, text string")
-    name = {hash(t) % 10**9: t for t in texts}
-    assert {name[r["h"]] for r in strict_prefixes(df).collect()} == {"abc", "ab", "p"}
-    assert strict_prefixes(df.limit(0)).count() == 0
+    assert prefixes(spark, texts) == {"abc", "ab", "p"}
+    assert strict_prefixes(text_rows(spark, texts).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", range(1, 9))
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_no_link_is_lost_at_a_border(spark, monkeypatch, parts, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    texts = ["abc", "abc\nCard", "abc def"] + (["a", "ab\nx", "ab\ny", "ab\nz", "abd"] if parts > 4 else [])
+    want = {t for t in texts if any(_goes_on(t, x) for x in texts if x.startswith(t) and x != t)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the ranges apart
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        assert prefixes(spark, texts) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def brute_statistics(bodies):
+    """Places of each (context, word) and of the prefixes of its words, one by one."""
+    n = {}
+    for body in bodies:
+        words, ends, _ = M._tokens(body)
+        for i, w in enumerate(words):
+            for j in range(min(M.CONTEXT, i) + 1):
+                c = tuple(words[i - j : i])
+                kind = ("", "ends", "inside", "last", "")[M._follow(body, ends[i])]
+                for what, k in [(w, kind)] + ([(w[:m], "longer") for m in range(1, len(w))] if w not in "0¶" else []):
+                    if k:
+                        n.setdefault((c, what), dict.fromkeys(("longer", "ends", "inside", "last"), 0))[k] += 1
+    return n
+
+
+@pytest.mark.parametrize("most", [29, 10])
+def test_statistics_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(M, "BITS_MOST", most)  # 2^10 bits: the hashes are divided and the texts read several times
+    monkeypatch.setattr(M, "BITS_LEAST", min(most, M.BITS_LEAST))
+    rows, _ = corpus(60, seed=5)
+    bodies = sorted({_body(t)[0] for _, t, _, _ in rows} | {"a" * 40 + " the " + "b" * 30})
+    tails = [(b, *_tail(b)) for b in bodies]
+    tails = [t for t in tails if t[1] == "word"]
+    df = spark.createDataFrame([(list(c), list(k)) for _, _, c, k, _ in tails], "contexts array<bigint>, keys array<bigint>")
+    got = {r["k"]: (r["longer"], r["ends"], r["inside"], r["last"]) for r in tail_statistics(spark.createDataFrame([(b,) for b in bodies], "body string"), df).collect()}
+    want = brute_statistics(bodies)
+    checked = 0
+    for body, _, _, keys, _ in tails:
+        words = M._tokens(body)[0]
+        for j, k in enumerate(keys):
+            w = want[tuple(words[len(words) - 1 - j : len(words) - 1]), words[-1]]
+            assert got.get(k, (0, 0, 0, 0)) == (w["longer"], w["ends"], w["inside"], w["last"])
+            checked += 1
+    assert checked > 100
 
 
 def test_longer_copies_decide_for_every_end(spark):
@@ -90,12 +161,11 @@ def test_longer_copies_decide_for_every_end(spark):
 def test_prefixes_across_partitions(spark):
     texts = [f"{w} (item {i})" for i in range(40) for w in ("Lift", "Turn")]
     texts += [t + " and hold" for t in texts[::2]] + [t + ". Then go" for t in texts[1::2]] + ["Done.", "Done. Next", "Over.", "Over.more"]
-    df = spark.createDataFrame(list(enumerate(texts)), "h bigint, text string")
     want = {t for t in texts if any(_goes_on(t, x) for x in texts if x.startswith(t) and x != t)}
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the ranges apart
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
-        assert {texts[r["h"]] for r in strict_prefixes(df).collect()} == want
+        assert prefixes(spark, texts) == want
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
