@@ -52,10 +52,10 @@ BROADCAST_ROWS, BROADCAST_CHARS = 10_000, 4_000_000
 #: Words up to this length are hashed together; longer ones one by one.
 WORD_COLUMNS = 24
 
-TOKEN = re.compile(r"\d+(?:[.,/:\-]\d+)*|[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+WORD = re.compile(r"(\d+(?:[.,/:\-]\d+)*|[^\W\d_]+(?:['’\-][^\W\d_]+)*)")
 #: A break between entries, items or paragraphs; other line ends only wrap the text.
 BREAK = re.compile(r"""\n\s*\n| / |[.!?…|>]["'”’)]*[ \t]*\r?\n|\n\s*(?=[-*|#/—•]|\d+\.|[QA]:|[A-Z#]{2})""")
-SENTENCE_END = re.compile(r"""\s*(?:[.!?…]+(?=[\s"'”’)\]<]|$)|\n\s*\n|\r?\n\s*(?:[-*|#]|\d+\.\s|[QA]:)| / )""")
+SENTENCE_END = re.compile(r"""\s*(?:[.!?…]+(?=[\s"'”’)\]<]|$)|\n\s*\n| / )""")
 #: A sentence is over: its mark, with closing quotes, brackets and tags.
 SENTENCE_OVER = re.compile(r"""[.!?…](?:["'”’»)\]}]|</[^<>]*>)*\Z""")
 #: What makes it go on all the same behind white space: a number that is no list item's.
@@ -87,21 +87,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _tokens(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Words (digits masked, lower case, ¶ at a break of lines), their ends and starts."""
-    words, ends, starts, last = [], [], [], 0
-    for m in TOKEN.finditer(text):
-        at = m.start()
-        if last and ("\n" in text[last:at] or " / " in text[last:at]) and BREAK.search(text, last, at + 3):
-            words.append("¶")
-            ends.append(last)
-            starts.append(last)
-        w = m.group()
-        words.append("0" if w[0].isdigit() else w.lower())
-        last = m.end()
-        ends.append(last)
-        starts.append(at)
-    return words, ends, starts
+def _masked(w: str) -> str:
+    return "0" if w[0].isdigit() else w.lower()
+
+
+def _broken(gap: str, ahead: str) -> bool:
+    """Whether a line, entry or paragraph ends between two words; ``ahead``: what follows the gap."""
+    return ("\n" in gap or " / " in gap) and BREAK.search(gap + ahead[:3]) is not None
+
+
+def _read(text: str) -> tuple[list[str], list[str], list[bool]]:
+    """Words (digits masked, lower case), what stands behind each, and whether there is a break of lines."""
+    parts = WORD.split(text)
+    words, gaps = parts[1::2], parts[2::2]
+    breaks = [_broken(g, w + h) if g != " " else False for g, w, h in zip(gaps, words[1:], gaps[1:])]
+    return [_masked(w) for w in words], gaps, breaks + [False] * (len(words) - len(breaks))
+
+
+def _follow(gap: str, broken: bool, last: bool) -> int:
+    """What comes after a word: 1 the end of a sentence or line, 2 more of it, 3 the end of the text, 4 unclear."""
+    if last and not gap.strip():
+        return 3
+    if broken or SENTENCE_END.match(gap if last else gap + "x"):
+        return 1
+    return 4 if gap.lstrip(" ")[:1] in ("\r", "\n") else 2
 
 
 def _body(text: str) -> tuple[str, str]:
@@ -116,32 +125,20 @@ def _body(text: str) -> tuple[str, str]:
     return b, ""
 
 
-def _follow(text: str, end: int) -> int:
-    """What comes after a word: 1 the end of a sentence, 2 more of it, 3 the end of the text, 4 unclear."""
-    rest = text[end : end + 40]
-    if rest[:1] == " " and rest[1:2].isalnum():
-        return 2
-    if not rest.strip():
-        return 3
-    if SENTENCE_END.match(rest):
-        return 1
-    return 4 if rest.lstrip(" ")[:1] in "\r\n" else 2
-
-
 def _tail(body: str) -> tuple[str, list[int], list[int], bool]:
     """Kind of the end (word, signs, none: a whole sentence or no word), hashes of its contexts, of the contexts with it, and whether it is a number."""
     # the words of the last stretch are enough: a context has three of them
-    start = max(0, len(body) - 400)
-    words, ends, _ = _tokens(body[start:])
-    if len(words) <= CONTEXT + 1 and start:
-        words, ends, _ = _tokens(body)
-        start = 0
+    stretch = body[-400:]
+    words, gaps, breaks = _read(stretch)
+    if len(words) <= CONTEXT + 1 and len(stretch) < len(body):
+        words, gaps, breaks = _read(body)
     if not words:
         return "none", [], [], False
-    signs = _signs(body[start + ends[-1] :])
+    signs = _signs(gaps[-1])
     if words[-1] != "0" and SENTENCE_OVER.search(signs):  # behind a number a point may also mark a list item
         return "none", [], [], False
-    hashes = np.array([_word_hash(w) for w in words[-CONTEXT - 1 :]], dtype=np.uint64)
+    run = [x for w, b in zip(words[-CONTEXT - 1 :], breaks[-CONTEXT - 1 :]) for x in ((w, "¶") if b else (w,))]
+    hashes = np.array([_word_hash(w) for w in run[-CONTEXT - 1 :]], dtype=np.uint64)
     if signs:
         hashes = np.append(hashes, np.uint64(_sign_hash(signs)))
     contexts, keys = [], []
@@ -159,7 +156,9 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             body, mark = _body(text)
             kind, contexts, keys, number = _tail(body) if body else ("none", [], [], False)
             whole = text if kind == "word" and ("\n" in text[len(body) :] or "\r" in text[len(body) :]) else None
-            rows.append((key, source, _text_hash(text), kind, mark, len(text), len(text.encode("utf-8", "surrogatepass")), number, contexts, keys, _text_hash(body), body, whole))
+            coded = text.encode("utf-8", "surrogatepass")
+            h = xxhash.xxh3_128_digest(coded)
+            rows.append((key, source, h, kind, mark, len(text), len(coded), number, contexts, keys, h if len(body) == len(text) else _text_hash(body), body, whole))
         yield pd.DataFrame(rows, columns=["key", "source", "h", "kind", "mark", "chars", "bytes", "number", "contexts", "keys", "b", "body", "whole"])
 
 
@@ -183,11 +182,19 @@ class _Words:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
         self.prefixes = np.zeros((1024, WORD_COLUMNS), dtype=np.uint64)
         self.full = np.zeros(1024, dtype=np.uint64)
         self.length = np.zeros(1024, dtype=np.int32)
         self.long: dict[int, list[int]] = {}
 
+    def raw(self, w: str) -> int:
+        """Id of a word as written."""
+        i = self.seen.get(w)
+        if i is None:
+            i = self.seen[w] = self.id(_masked(w))
+        return i
+
     def id(self, w: str) -> int:
         i = self.ids.get(w)
         if i is None:
@@ -207,22 +214,22 @@ class _Words:
 
 
 class _Gaps:
-    """What signs between two words stand for: (hash, kind) of themselves and their prefixes."""
+    """What stands between two words: what follows the first, and (hash, kind) of the signs and their prefixes."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple[str, bool, bool, bool], list[tuple[int, int]]] = {}
+        self.known: dict[tuple[str, bool, bool, bool], tuple[int, list[tuple[int, int]]]] = {}
 
-    def of(self, gap: str, broken: bool, capital: bool, last: bool) -> list[tuple[int, int]]:
+    def of(self, gap: str, broken: bool, capital: bool, last: bool) -> tuple[int, list[tuple[int, int]]]:
         key = (gap, broken, capital, last)
         have = self.known.get(key)
         if have is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            have = self.known[key] = self._read(*key)
+            have = self.known[key] = _follow(gap, broken, last), self._signs(*key)
         return have
 
     @staticmethod
-    def _read(gap: str, broken: bool, capital: bool, last: bool) -> list[tuple[int, int]]:
+    def _signs(gap: str, broken: bool, capital: bool, last: bool) -> list[tuple[int, int]]:
         signs = _signs(gap)
         full = signs.rstrip()
         if not full:
@@ -261,7 +268,7 @@ def _places(bitmap, part: int, parts: int):
         words, gaps = _Words(), _Gaps()
         for b in batches:
             for texts in _slices(b["body"]):
-                if len(words.ids) > 300_000:
+                if len(words.seen) > 300_000:
                     words = _Words()
                 yield _stats(texts, words, gaps, held)
 
@@ -281,27 +288,31 @@ def _slices(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
 
 
 def _stats(bodies: list[str], words: _Words, gaps: _Gaps, held) -> pd.DataFrame:
-    ids, doc, end, first = [], [], [], []
+    ids, first, follows = [], [], []
     at_word, at_hash, at_kind = [], [], []  # signs: the place of the word before them, their hash, what follows
-    for k, body in enumerate(bodies):
-        ws, es, ss = _tokens(body)
-        base, n = len(ids), len(ws)
-        ids.extend(map(words.id, ws))
-        end.extend(es)
-        doc.extend([k] * n)
-        first.extend(range(n))
-        for i in range(n):
-            if ws[i] == "¶":
+    para = words.id("¶")
+    for body in bodies:
+        parts = WORD.split(body)
+        raws, base = parts[1::2], len(ids)
+        left = len(raws)
+        for k, gap in enumerate(parts[2::2]):
+            left -= 1
+            ids.append(words.raw(raws[k]))
+            if gap == " " and left:
+                follows.append(2)
                 continue
-            nxt = i + 1
-            broken = nxt < n and ws[nxt] == "¶"
-            nxt += broken
-            gap = body[es[i] : ss[nxt] if nxt < n else len(body)]
-            if gap and not gap.isspace():
-                for h, kind in gaps.of(gap, broken, nxt < n and not body[ss[nxt]].islower(), nxt >= n):
-                    at_word.append(base + i)
-                    at_hash.append(h)
-                    at_kind.append(kind)
+            ahead = raws[k + 1] if left else ""
+            broken = bool(left) and _broken(gap, ahead + parts[2 * k + 4])
+            follow, signs = gaps.of(gap, broken, bool(left) and not ahead[0].islower(), not left)
+            for h, kind in signs:
+                at_word.append(len(ids) - 1)
+                at_hash.append(h)
+                at_kind.append(kind)
+            follows.append(follow)
+            if broken:
+                ids.append(para)
+                follows.append(4)
+        first.extend(range(len(ids) - base))
     keys, kinds, times = [], [], []
 
     def give(key: np.ndarray, kind: np.ndarray | int, n: np.ndarray | None = None) -> None:
@@ -314,7 +325,7 @@ def _stats(bodies: list[str], words: _Words, gaps: _Gaps, held) -> pd.DataFrame:
     if ids:
         wid, place = np.array(ids), np.array(first)
         full = words.full[wid]
-        follow = np.full(len(wid), -1, dtype=np.int8)  # worked out once for each place that is asked for
+        follow = np.array(follows, dtype=np.int8)
         sign_at, sign_hash, sign_kind = np.array(at_word, dtype=np.int64), np.array(at_hash, dtype=np.uint64), np.array(at_kind, dtype=np.int8)
         behind = np.append(full, np.uint64(0))
         for j in range(CONTEXT + 1):
@@ -329,11 +340,7 @@ def _stats(bodies: list[str], words: _Words, gaps: _Gaps, held) -> pd.DataFrame:
             at = np.nonzero((place[j:] >= j) & held(ctx, own=True))[0]
             ctx, w, pos = ctx[at], wid[at + j], at + j
             # the word itself
-            key = _key(ctx, words.full[w])
-            hit = np.nonzero(held(key))[0]
-            new = pos[hit][follow[pos[hit]] < 0]
-            follow[new] = [_follow(bodies[doc[p]], end[p]) for p in new.tolist()]
-            give(key[hit], follow[pos[hit]])
+            give(_key(ctx, words.full[w]), follow[pos])
             # longer words that begin with a tail's word; the same word in the same context is looked up once
             order = np.lexsort((w, ctx))
             ctx, w = ctx[order], w[order]

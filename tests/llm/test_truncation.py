@@ -116,11 +116,14 @@ def brute_statistics(bodies):
     """Places of each (context, word) and of the prefixes of its words, one by one."""
     n = {}
     for body in bodies:
-        words, ends, _ = M._tokens(body)
-        for i, w in enumerate(words):
+        words, gaps, breaks = M._read(body)
+        follow = [M._follow(g, b, i == len(gaps) - 1) for i, (g, b) in enumerate(zip(gaps, breaks))]
+        run = [x for w, b, f in zip(words, breaks, follow) for x in ([(w, f), ("¶", 4)] if b else [(w, f)])]
+        words = [w for w, _ in run]
+        for i, (w, f) in enumerate(run):
             for j in range(min(M.CONTEXT, i) + 1):
                 c = tuple(words[i - j : i])
-                kind = ("", "ends", "inside", "last", "")[M._follow(body, ends[i])]
+                kind = ("", "ends", "inside", "last", "")[f]
                 for what, k in [(w, kind)] + ([(w[:m], "longer") for m in range(1, len(w))] if w not in "0¶" else []):
                     if k:
                         n.setdefault((c, what), dict.fromkeys(("longer", "ends", "inside", "last"), 0))[k] += 1
@@ -140,7 +143,8 @@ def test_statistics_against_brute_force(spark, monkeypatch, most):
     want = brute_statistics(bodies)
     checked = 0
     for body, _, _, keys, _ in tails:
-        words = M._tokens(body)[0]
+        words, _, breaks = M._read(body)
+        words = [x for w, b in zip(words, breaks) for x in ((w, "¶") if b else (w,))]
         for j, k in enumerate(keys):
             w = want[tuple(words[len(words) - 1 - j : len(words) - 1]), words[-1]]
             assert got.get(k, (0, 0, 0, 0)) == (w["longer"], w["ends"], w["inside"], w["last"])
