@@ -339,7 +339,7 @@ ORACLES = {
     "kg_functions_lift": _FUNCTIONS,
     "kg_parts_lift": _PARTS,
     "kg_function_cross_product": with_("cd", "hf", "fd") + "SELECT s, o FROM fd",
-    "kg_superclass_chain": with_("sf", more="r(s, o, d) AS (SELECT s, o, 1 FROM sf UNION SELECT r.s, t.o, d + 1 FROM r JOIN sf t ON t.s = r.o WHERE d < 64)") + "SELECT s, o, min(d)::BIGINT AS depth FROM r GROUP BY 1, 2",
+    "kg_superclass_chain": with_("sf", more="r(s, o, d) AS (SELECT s, o, 1 FROM sf UNION SELECT r.s, t.o, d + 1 FROM r JOIN sf t ON t.s = r.o WHERE d <= (SELECT count(*) FROM (SELECT s FROM sf UNION SELECT o FROM sf)))") + "SELECT s, o, min(d)::BIGINT AS depth FROM r GROUP BY 1, 2",
     "kg_khop_subgraph": _AROUND + " SELECT * FROM g",
     "kg_subgraph_telemetry": _AROUND + " SELECT CASE WHEN r <= 2 THEN p ELSE '__other__' END AS predicate, sum(c)::BIGINT AS count FROM (SELECT p, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, p) AS r FROM g GROUP BY p) GROUP BY 1",
     "kg_term_types": _AROUND + " SELECT 'subject' AS position, 'uri' AS term_type, count(*) AS count FROM g UNION ALL SELECT 'object', 'uri', count(*) FROM g",
