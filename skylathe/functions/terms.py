@@ -54,11 +54,14 @@ def escape(c: Column | str) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """Inverse of ``escape``; the backslash itself goes through a private-use character."""
-    s = F.replace(_col(c), F.lit("\\\\"), F.lit("\ue010"))
-    for raw, safe in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        s = F.replace(s, F.lit(safe), F.lit(raw))
-    return F.replace(s, F.lit("\ue010"), F.lit("\\"))
+    """Inverse of ``escape``, sign by sign: each backslash is read with what follows it, so none is read twice."""
+
+    def plain(p: Column) -> Column:
+        for raw, safe in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            p = F.replace(p, F.lit(safe), F.lit(raw))
+        return p
+
+    return F.array_join(F.transform(F.split(_col(c), r"\\\\", -1), plain), "\\")  # divided at escaped backslashes
 
 
 def literal(c: Column | str, lang: str | None = None, datatype: str | None = None) -> Column:

@@ -5,6 +5,7 @@ The model itself is a responder given by the caller (``scoring.respond``); lists
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,16 @@ def cause_stem(c: Column) -> Column:
     return F.regexp_extract(c, r"^(.*?)(?:$| \()", 1)
 
 
-def bullets(df: DataFrame, column: str, order: str, most: int = 10_000) -> str:
-    """The distinct values of a column as a list for a prompt; a prompt holds at most ``most``."""
-    rows = first_seen(df, column, order).orderBy(order).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} values do not fit a prompt")
-    return "\n".join(f"- {r[column]}" for r in rows)
+def bullets(df: DataFrame, column: str, order: str, block: int = 10_000) -> Iterator[str]:
+    """The distinct values of a column as lists for prompts of ``block`` values each, in first-seen order."""
+    held: list[str] = []
+    for r in first_seen(df, column, order).orderBy(order).toLocalIterator():
+        held.append(f"- {r[column]}")
+        if len(held) == block:
+            yield "\n".join(held)
+            held = []
+    if held:
+        yield "\n".join(held)
 
 
 def component_prompt(description: str, systems: str, assemblies: str) -> str:

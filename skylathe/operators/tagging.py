@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .extraction import label_values
 
 LABELS = ("location", "part", "tggedproblem")
@@ -62,29 +63,48 @@ def train_tagger(annotated: DataFrame, least: int = 2) -> DataFrame:
     return best.filter(F.col("all") >= least).select("phrase", "b.label", "b.n")
 
 
-def tag(df: DataFrame, model: DataFrame, ident: str = "ident", text: str = "problem", most: int = 200_000) -> DataFrame:
-    """(id, text, location, part, tggedproblem): phrases of the model in each text, longest first, distinct,
-    sorted, joined by "; ". The model is checked against ``most`` phrases before it goes to the workers; a larger
-    one is used in blocks by the caller. Blank texts are left out."""
-    phrases = model.select("phrase", "label").limit(most + 1).collect()
-    if len(phrases) > most:
-        raise ValueError(f"the model has more than {most} phrases")
-    known = {r["phrase"]: r["label"] for r in phrases}
-    alternatives = "|".join(re.escape(p) for p in sorted(known, key=len, reverse=True))
-    rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).filter(F.trim("text") != "")
+def tag(df: DataFrame, model: DataFrame, ident: str = "ident", text: str = "problem") -> DataFrame:
+    """(id, text, location, part, tggedproblem): phrases of the model in each text, longest first from the left,
+    distinct, sorted, joined by "; ". Blank texts are left out.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = re.compile(rf"(?<!\w)(?:{alternatives})(?!\w)") if alternatives else None
+    Each distinct text gives the runs of its words of the lengths that phrases have; runs and phrases meet in an
+    equi-join, so the model may be of any size. ``model``: phrase, unique, in lower case, and label.
+    """
+    rows = df.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text")).filter(F.trim("text") != "")
+    model = cut(model.select("phrase", "label").withColumn("w", F.size(F.regexp_extract_all("phrase", F.lit(r"\w+|[^\w\s]"), 0))))
+    lengths = sorted(r["w"] for r in model.select("w").distinct().collect())  # words of a phrase: few values
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t in b.itertuples(index=False):
+            for t in b["text"]:
+                low = t.lower()
+                if len(low) != len(t):  # letters that change their length are compared as they are
+                    low = t
+                at = [m.span() for m in re.finditer(r"\w+|[^\w\s]", low)]
+                for n in lengths:
+                    for i in range(len(at) - n + 1):
+                        out.append((t, low[at[i][0] : at[i + n - 1][1]], at[i][0], at[i + n - 1][1]))
+            yield pd.DataFrame(out, columns=["text", "phrase", "a", "z"])
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t, spans in zip(b["text"], b["spans"]):
                 found: dict[str, set] = {n: set() for n in LABELS}
-                for m in find.finditer(t.lower()) if find else ():
-                    found[known[m.group()]].add(t[m.start() : m.end()])
-                out.append((i, t, *["; ".join(sorted(found[n])) for n in LABELS]))
-            yield pd.DataFrame(out, columns=["id", "text", *LABELS])
-
-    return rows.mapInPandas(run, "id string, text string, location string, part string, tggedproblem string")
+                end = 0
+                for s in sorted(spans, key=lambda s: (s["a"], -s["z"])):
+                    if s["a"] >= end:
+                        found[s["label"]].add(t[s["a"] : s["z"]])
+                        end = s["z"]
+                out.append((t, *["; ".join(sorted(found[n])) for n in LABELS]))
+            yield pd.DataFrame(out, columns=["text", *LABELS])
+
+    distinct = rows.select("text").distinct()
+    hits = distinct.mapInPandas(runs, "text string, phrase string, a int, z int").join(model.select("phrase", "label"), "phrase")
+    spans = hits.groupBy("text").agg(F.collect_list(F.struct("a", "z", "label")).alias("spans"))  # as many as a text has words
+    tagged = spans.mapInPandas(pick, "text string, location string, part string, tggedproblem string")
+    return rows.join(tagged, "text", "left").select("id", "text", *[F.coalesce(n, F.lit("")).alias(n) for n in LABELS])
 
 
 def save_model(model: DataFrame, path: str) -> None:

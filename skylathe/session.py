@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +33,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is set only where none is (tests)."""
+    """The shared folder named by the session. A folder of this machine is taken only where none is named and all
+    tasks run on this machine (tests); elsewhere executors could not read each other's tables, so that is an error."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "skylathe-checkpoints"))
     return sc.getCheckpointDir()
 
 
+#: Tables written by ``cut`` and not yet removed.
+_CUTS: list[str] = []
+
+
+def remove_cuts(spark: SparkSession, since: int = 0) -> int:
+    """Removes the tables that ``cut`` has written from the ``since``-th on; returns how many. What was planned on
+    them can no longer be read."""
+    made, _CUTS[since:] = _CUTS[since:], []
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(made)
+
+
+@contextmanager
+def passing_cuts(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end: write or collect the result before."""
+    start = len(_CUTS)
+    try:
+        yield
+    finally:
+        remove_cuts(spark, start)
+
+
 def _write(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,7 +81,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder; survives the loss of executors.
 
     A written table is computed once, while ``DataFrame.checkpoint`` runs the last stage twice, and later
-    plans read only the columns they need. The tables live as long as the folder.
+    plans read only the columns they need. The tables live as long as the folder or until ``remove_cuts``.
     """
     return _write(df)
 

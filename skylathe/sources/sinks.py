@@ -12,10 +12,11 @@ import re
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import DC, RDF, XSD, iri, literal
+from ..session import cut
 
 OWL = "http://www.w3.org/2002/07/owl#"
 PROV = "http://www.w3.org/ns/prov#"
@@ -46,23 +47,61 @@ def write_trig(quads: DataFrame, path: str) -> None:
     trig_blocks(quads).write.mode("overwrite").text(path)
 
 
-def canonical_lines(triples: DataFrame, rounds: int = 3) -> DataFrame:
+def _refine(t: DataFrame, nodes: DataFrame, kinds: int) -> tuple[DataFrame, int]:
+    """Blank nodes' labels (b, h) told apart by their triples and neighbours until no round tells more apart."""
+    while True:
+        hs, ho = nodes.select(F.col("b").alias("s"), F.col("h").alias("hs")), nodes.select(F.col("b").alias("o"), F.col("h").alias("ho"))
+        seen = t.join(hs, "s", "left").join(ho, "o", "left")
+        out = seen.filter("hs is not null").select(F.col("s").alias("b"), F.concat_ws(" ", F.lit(">"), "p", F.coalesce("ho", "o")).alias("e"))
+        back = seen.filter("ho is not null").select(F.col("o").alias("b"), F.concat_ws(" ", F.lit("<"), "p", F.coalesce("hs", "s")).alias("e"))
+        around = out.unionByName(back).groupBy("b").agg(F.array_join(F.array_sort(F.collect_list("e")), "\n").alias("e"))
+        nodes = cut(nodes.join(around, "b").select("b", F.sha2(F.concat_ws("\n", "h", "e"), 256).alias("h")))
+        now = nodes.select("h").distinct().count()
+        if now == kinds:
+            return nodes, now
+        kinds = now
+
+
+def canonical_lines(triples: DataFrame) -> DataFrame:
     """(line): N-Triples with blank nodes named by their neighbourhood, so equal graphs give equal lines.
 
-    A blank node's label is the hash of its triples, refined by the labels of its blank neighbours for some
-    rounds. Nodes that no round tells apart share a label.
+    A blank node's label is the hash of its triples, refined by the labels of its neighbours until no round tells
+    more nodes apart. Of nodes still alike one in each connected group is marked, and refined again, until all nodes
+    of a group differ; groups that are alike as wholes are numbered. No two nodes share a label, so no lines merge.
+    Which of several alike nodes is marked makes no difference if they can be exchanged for each other; graphs with
+    alike nodes that cannot (some regular graphs) may get lines that depend on their labels.
     """
     t = triples.select("s", "p", "o").distinct()
-    if not t.filter(F.startswith("s", F.lit("_:")) | F.startswith("o", F.lit("_:"))).limit(1).count():
+    blank = lambda c: F.startswith(c, F.lit("_:"))
+    if not t.filter(blank("s") | blank("o")).limit(1).count():
         return ntriples(t)
-    nodes = t.select(F.explode(F.array("s", "o")).alias("b")).filter(F.startswith("b", F.lit("_:"))).distinct().withColumn("h", F.lit("b"))
-    for _ in range(rounds):
-        hs, ho = nodes.select(F.col("b").alias("s"), F.col("h").alias("hs")), nodes.select(F.col("b").alias("o"), F.col("h").alias("ho"))
-        seen = t.join(hs, "s", "left").join(ho, "o", "left")
-        out = seen.filter("hs is not null").select(F.col("s").alias("b"), F.concat_ws(" ", F.lit(">"), "p", F.coalesce("ho", "o")).alias("e"))
-        back = seen.filter("ho is not null").select(F.col("o").alias("b"), F.concat_ws(" ", F.lit("<"), "p", F.coalesce("hs", "s")).alias("e"))
-        nodes = out.unionByName(back).groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("e")), "\n"), 256).alias("h"))
-    name = lambda c: F.coalesce(F.concat(F.lit("_:c"), F.substring(f"h{c}", 1, 16)), F.col(c)).alias(c)
+    t = cut(t)
+    nodes = cut(t.select(F.explode(F.array("s", "o")).alias("b")).filter(blank("b")).distinct())
+    n = nodes.count()
+    nodes, kinds = _refine(t, nodes.withColumn("h", F.lit("")), 0)
+    if kinds < n:
+        links = t.filter(blank("s") & blank("o")).select("s", "o")
+        both = links.unionByName(links.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct()
+        group, low = nodes.select("b", F.col("b").alias("g")), -1
+        while True:  # the smallest label of each connected group
+            near = both.join(group.select(F.col("b").alias("o"), "g"), "o").groupBy("s").agg(F.min("g").alias("g2"))
+            moved = group.join(near.withColumnRenamed("s", "b"), "b", "left").select("b", F.least("g", "g2").alias("g"), (F.col("g2") < F.col("g")).alias("less"))
+            moved = cut(moved)
+            low = moved.filter("less").count()
+            group = moved.select("b", "g")
+            if not low:
+                break
+        while True:
+            alike = nodes.join(group, "b").groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).filter("n > 1")
+            marked = alike.groupBy("g").agg(F.min_by("b", "h").alias("b")).select("b", F.lit("!").alias("mark"))
+            if not marked.limit(1).count():
+                break
+            nodes, kinds = _refine(t, nodes.join(marked, "b", "left").select("b", F.concat("h", F.coalesce("mark", F.lit(""))).alias("h")), 0)
+        # groups alike as wholes are numbered
+        wholes = nodes.join(group, "b").groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("whole"))
+        numbered = wholes.withColumn("k", F.row_number().over(Window.partitionBy("whole").orderBy("g")))
+        nodes = nodes.join(group, "b").join(numbered, "g").select("b", F.sha2(F.concat_ws("\n", "h", F.col("k").cast("string")), 256).alias("h"))
+    name = lambda c: F.coalesce(F.concat(F.lit("_:c"), F.substring(f"h{c}", 1, 32)), F.col(c)).alias(c)
     hs, ho = nodes.select(F.col("b").alias("s"), F.col("h").alias("hs")), nodes.select(F.col("b").alias("o"), F.col("h").alias("ho"))
     return ntriples(t.join(hs, "s", "left").join(ho, "o", "left").select(name("s"), "p", name("o")))
 
@@ -88,15 +127,24 @@ def file_hash(path: str) -> str:
 # ---- mapping sets ----------------------------------------------------------------------------------------
 
 
-def write_sssom(rows: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """A mapping set as one TSV file with its metadata in comments; the set is as small as its catalog and
-    mentions, and goes through the driver row by row."""
-    with open(path, "w", encoding="utf-8") as f:
-        for k, v in metadata.items():
-            f.write(f"#{k}: {v}\n")
-        f.write("\t".join(rows.columns) + "\n")
-        for r in rows.orderBy("subject_id", F.desc("confidence"), "object_id").toLocalIterator():
-            f.write("\t".join("" if v is None else str(v).replace("\t", " ").replace("\n", " ") for v in r) + "\n")
+def sssom_lines(rows: DataFrame, metadata: dict[str, str]) -> DataFrame:
+    """(line) of a mapping set in order: its metadata in comments, the header, the mappings."""
+    spark = rows.sparkSession
+    head = [*(f"#{k}: {v}" for k, v in metadata.items()), "\t".join(rows.columns)]
+    top = spark.createDataFrame(list(enumerate(head)), "k int, line string").select(F.lit(0).alias("part"), "k", "line", *[F.lit(None).cast(t).alias(c) for c, t in _SSSOM_ORDER])
+    cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), "[\t\n]", " "), F.lit(""))
+    body = rows.select(F.lit(1).alias("part"), F.lit(0).alias("k"), F.concat_ws("\t", *map(cell, rows.columns)).alias("line"), *[F.col(c).cast(t) for c, t in _SSSOM_ORDER])
+    return top.unionByName(body).orderBy("part", "k", "subject_id", F.desc("confidence"), "object_id").select("line")
+
+
+_SSSOM_ORDER = (("subject_id", "string"), ("confidence", "double"), ("object_id", "string"))
+
+
+def write_sssom(rows: DataFrame, path: str, metadata: dict[str, str], parts: int = 1) -> None:
+    """A mapping set as TSV with its metadata in comments, written by the workers into the folder ``path``; the files
+    in order of their names are the set. One file by default, as the format asks for."""
+    lines = sssom_lines(rows, metadata)
+    (lines.coalesce(1) if parts == 1 else lines).write.mode("overwrite").text(path)
 
 
 def mapping_quads(rows: DataFrame, base: str, graph: str, timestamp: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from compare import DATA
 
 import __spark_entry__ as entry
-from skylathe.session import checkpoint_dir, cut, cut_count
+from skylathe.session import checkpoint_dir, cut, cut_count, passing_cuts
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -34,3 +34,26 @@ def test_cut_is_a_table_in_the_shared_folder(spark):
     assert n == 10 and out.count() == 10
     assert all(f.startswith(checkpoint_dir(spark).split("/")[0]) for f in out.inputFiles())
     assert "Range" not in cut(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passing_cuts_are_removed(spark):
+    kept = cut(spark.range(3))
+    with passing_cuts(spark):
+        files = cut(spark.range(5)).inputFiles()
+        assert files and all(Path(f.removeprefix("file:")).exists() for f in files)
+    assert not any(Path(f.removeprefix("file:")).exists() for f in files)
+    assert kept.count() == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master, getCheckpointDir, getConf = "spark://host:7077", staticmethod(lambda: None), staticmethod(lambda: Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session)

@@ -85,10 +85,10 @@ def test_shapes(spark):
 
 def test_prompts(spark, tmp_path):
     df = spark.createDataFrame([("b (hot)", 1), ("a", 2), ("b (hot)", 3), (None, 4)], "c string, n int")
-    assert P.bullets(df, "c", "n") == "- b (hot)\n- a"
+    assert list(P.bullets(df, "c", "n")) == ["- b (hot)\n- a"]
     assert [r["x"] for r in df.orderBy("n").limit(2).select(P.cause_stem(F.col("c")).alias("x")).collect()] == ["b", "a"]
-    with pytest.raises(ValueError):
-        P.bullets(df, "c", "n", most=1)
+    assert list(P.bullets(df, "c", "n", block=1)) == ["- b (hot)", "- a"]
+    assert list(P.bullets(df.limit(0), "c", "n")) == []
     P.save_tsv("```tsv\nA\tB\n1\t2\n```", str(tmp_path / "t.tsv"))
     assert (tmp_path / "t.tsv").read_text() == "A\tB\n1\t2\n"
     assert P.unfence("plain") == "plain"

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from skylathe.functions.terms import RDF, XSD
+from skylathe.functions.terms import RDF, XSD, escape, unescape
 from skylathe.sources.rdf import RdfError, parse_rdf, read_directory, read_files
 from skylathe.sources.sinks import canonical_lines, stable_text, trig_blocks, write_ntriples
 
@@ -73,3 +75,34 @@ def test_canonical_text_ignores_blank_names(spark):
     assert text("_:x", "_:y") == text("_:n7", "_:a") != ""
     assert canonical_lines(spark.createDataFrame([("<u:b>", "<u:p>", "<u:c>")], "s string, p string, o string")).first()["line"] == "<u:b> <u:p> <u:c> ."
     assert stable_text(spark.createDataFrame([], "s string, p string, o string")) == ""
+
+
+def ring(*sizes):
+    out, k = [], 0
+    for n in sizes:
+        out += [(f"_:b{k + i}", "<u:next>", f"_:b{k + (i + 1) % n}") for i in range(n)]
+        k += n
+    return out
+
+
+def graph_text(spark, triples, seed=None):
+    if seed is not None:
+        names = sorted({x for t in triples for x in (t[0], t[2]) if x.startswith("_:")})
+        new = dict(zip(names, random.Random(seed).sample([f"_:x{i}" for i in range(len(names))], len(names))))
+        triples = [(new.get(s, s), p, new.get(o, o)) for s, p, o in triples]
+    return stable_text(spark.createDataFrame(triples, "s string, p string, o string"))
+
+
+def test_blank_nodes_are_never_merged(spark):
+    six, three, mixed = ring(6), ring(3, 3), ring(6, 3, 3)
+    assert len(graph_text(spark, six).splitlines()) == len(graph_text(spark, three).splitlines()) == 6
+    assert graph_text(spark, six) != graph_text(spark, three)
+    for g in (six, mixed, ring(3) + [("_:b0", "<u:p>", '"x"')], [(f"_:n{i}", "<u:p>", "<u:o>") for i in range(4)]):
+        assert graph_text(spark, g, 1) == graph_text(spark, g, 2)
+        assert len(graph_text(spark, g).splitlines()) == len(g)
+
+
+def test_literals_come_back(spark):
+    texts = ["\ue010", "a\\nb", "\\", "\\\\n", '"\n\t\r', "", "\\\ue010\\"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["u"] for r in df.select(unescape(escape("t")).alias("u")).collect()] == texts
