@@ -9,9 +9,11 @@
    as an abbreviation. Codes (part numbers) are compared by spelling distance as a whole.
 4. The best entry is accepted above a threshold and with a margin to the second.
 
-The reference list is read in blocks of bounded size; each block's index goes to the workers and every
-distinct value is scored against it, the two best of all blocks count. A list of up to one block, as here,
-takes one pass.
+A list of counted, bounded size goes to the workers as an index, so values are not shuffled once they are
+distinct. A longer one stays a table: its n-grams and those of the values meet in an equi-join (without the most
+common n-grams of a value, as far as they cannot decide), and only candidate pairs reach the comparison. Both
+ways have the same candidates. Words that say nothing, marks and look-alike letters are the caller's to give
+(``Rules``); none is built in.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,50 +33,55 @@ from ..functions.text import squeeze
 from ..operators.skew import HEAVY_FLOOR, heavy_keys, skew_join
 from ..session import cut
 
-#: Most entries of a list whose index is sent to the workers at once (about 20 MB).
+#: Most entries of a list whose index is sent to the workers (about 20 MB); a longer list is joined.
 BLOCK = 50_000
-#: Entries below this share of the best cosine are no candidates.
+#: Entries below this share of the best cosine, or below the least one, are no candidates. With 0 for both, all
+#: entries that share an n-gram are compared.
 CANDIDATE_SHARE = 0.5
 CANDIDATE_LEAST = 0.1
 #: Share of its score that an entry keeps when the value has nothing for one of its words.
 PARTIAL = 0.8
 
 
-@dataclass
+@dataclass(frozen=True)
 class Rules:
     """How values of a field are read and when an entry is accepted."""
 
     code: bool = False  #: a code compared as a whole, not a name of words
     threshold: float = 0.73
     margin: float = 0.01
-    #: words that say where or in what state something is, not what it is
-    noise: frozenset[str] = field(default_factory=lambda: frozenset({"THE", "NEW", "OLD", "SPARE", "LEFT", "RIGHT", "LH", "RH", "L", "R", "H", "ENG", "ENGINE", "ASSY", "ASSEMBLY", "A", "AN", "OF"}))
+    noise: frozenset[str] = frozenset()  #: words, in upper case, that do not say what something is
+    edits: tuple[tuple[str, str], ...] = ()  #: patterns and what takes their place in values in upper case, in order
+    alike: tuple[str, str] = ("", "")  #: letters of codes read as others, on both sides of a comparison
 
 
 # ---- normal forms ------------------------------------------------------------------------------------
 
-_SERIAL = re.compile(r"\bS\s*/?\s*N\s*[:.#]?\s*\d+\b")
-_PLACE = re.compile(r"#\s*\d+\s+CYL\b")
-_SIDE = re.compile(r"\b([LR])\s*/\s*H\b")
 _INNER_SLASH = re.compile(r"(?<=[A-Z])/(?=[A-Z])")
 _NOT_WORD = re.compile(r"[^A-Z0-9]+")
 _VOWEL = re.compile(r"[AEIOU]")
 _DOUBLE = re.compile(r"(.)\1+")
-_CODE_LEAD = re.compile(r"^\W*(?:P\s*/?\s*N\b[\s:.#-]*|P/?N(?=[A-Z]{2}\d|\d))")
-_CODE_TAIL = re.compile(r"(?:\(\s*NEW\s*\)|\bREV\.?\s*[A-Z0-9]\b|[\s*])+$")
-#: Letters read for digits and the digits they stand for, on both sides of a comparison.
-_LOOKALIKE = str.maketrans("OISBZ", "01582")
 
 
-def words_of(value: str, noise: frozenset[str] = frozenset()) -> list[str]:
-    s = _SIDE.sub(r"\1H", _PLACE.sub(" ", _SERIAL.sub(" ", value.upper())))
-    words = _NOT_WORD.sub(" ", _INNER_SLASH.sub("", s)).split()
-    return [w for w in words if w not in noise] or words
+def _edited(value: str, rules: Rules) -> str:
+    s = value.upper().strip()
+    for pattern, new in rules.edits:
+        s = re.sub(pattern, new, s)
+    return s
 
 
-def code_of(value: str) -> str:
-    s = _CODE_TAIL.sub("", _CODE_LEAD.sub("", value.upper().strip()))
-    return _NOT_WORD.sub("", s).translate(_LOOKALIKE)
+def words_of(value: str, rules: Rules = Rules(), entry: bool = False) -> list[str]:
+    """Words of a name; those of an entry all count."""
+    words = _NOT_WORD.sub(" ", _INNER_SLASH.sub("", _edited(value, rules))).split()
+    return words if entry else [w for w in words if w not in rules.noise] or words
+
+
+def code_of(value: str, rules: Rules) -> str:
+    return _NOT_WORD.sub("", _edited(value, rules)).translate(str.maketrans(*rules.alike))
+
+
+def read(value: str, rules: Rules, entry: bool = False) -> list[str]:
+    return [c] if rules.code and (c := code_of(value, rules)) else [] if rules.code else words_of(value, rules, entry)
 
 
 def skeleton(word: str) -> str:
@@ -161,40 +168,27 @@ def word_match(typed: str, meant: str) -> float:
     return best
 
 
-# ---- index of one block ------------------------------------------------------------------------------
+# ---- comparison with entries -------------------------------------------------------------------------
+
 
+def word_weight(n: int, c: int) -> float:
+    return 1 + 0.25 * math.log((1 + n) / (1 + c))
 
-class Index:
-    def __init__(self, entries: list[tuple[int, str]], rules: Rules, df: Counter, n: int) -> None:
-        self.rules, self.ids = rules, [i for i, _ in entries]
-        self.words = [[code_of(x)] if rules.code else words_of(x) for _, x in entries]
-        self.joined = ["".join(w) for w in self.words]
-        self.idf = {g: 1 + math.log((1 + n) / (1 + c)) for g, c in df.items()}
+
+class Scorer:
+    """Compares words with entries, given how often n-grams and words are in the list."""
+
+    def __init__(self, rules: Rules, grams: dict[str, int], n: int, typical: float) -> None:
+        self.rules, self.typical = rules, typical
+        self.idf = {g: 1 + math.log((1 + n) / (1 + c)) for g, c in grams.items()}
         self.rare = 1 + math.log(1 + n)
-        word_df = Counter(w for ws in self.words for w in set(ws))
-        self.word_weight = {w: 1 + 0.25 * math.log((1 + len(entries)) / (1 + c)) for w, c in word_df.items()}
-        self.typical = float(np.mean(list(self.word_weight.values()))) if word_df else 1.0
-        postings: dict[str, list] = defaultdict(list)
-        for k, ws in enumerate(self.words):
-            f = features(ws, rules.code)
-            norm = math.sqrt(sum((c * self.idf[g]) ** 2 for g, c in f.items())) or 1.0
-            for g, c in f.items():
-                postings[g].append((k, c * self.idf[g] / norm))
-        self.postings = {g: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
-        self.letters = [frozenset(j) for j in self.joined]
         self.known: dict[tuple[str, str], float] = {}
-        self.results: dict[tuple[str, ...], tuple[int, float, float]] = {}
 
-    def cosines(self, words: list[str]) -> np.ndarray:
-        acc = np.zeros(len(self.ids))
-        square = 0.0
-        for g, c in features(words, self.rules.code).items():
-            w = c * self.idf.get(g, self.rare)
-            square += w * w
-            p = self.postings.get(g)
-            if p is not None:
-                acc[p[0]] += w * p[1]
-        return acc / math.sqrt(square) if square else acc
+    def vector(self, words: list[str]) -> dict[str, float]:
+        """Weighted n-grams, of length 1."""
+        v = {g: c * self.idf.get(g, self.rare) for g, c in features(words, self.rules.code).items()}
+        norm = math.sqrt(sum(w * w for w in v.values())) or 1.0
+        return {g: w / norm for g, w in v.items()}
 
     def match(self, typed: str, meant: str) -> float:
         key = (typed, meant)
@@ -205,103 +199,183 @@ class Index:
             m = self.known[key] = word_match(typed, meant)
         return m
 
-    def soft(self, typed: list[str], k: int) -> float:
-        """Soft weighted cosine of the typed words and entry k: each word is matched at most once."""
-        meant = self.words[k]
+    def soft(self, typed: list[str], meant: list[str], weights: list[float], letters: frozenset[str]) -> float:
+        """Soft weighted cosine of the typed words and an entry's: each word is matched at most once."""
         pairs = sorted(((m, i, j) for i, t in enumerate(typed) for j, w in enumerate(meant) if (m := self.match(t, w)) > 0), reverse=True)
         used_t: dict[int, tuple[float, float]] = {}
         used_m = set()
         dot = 0.0
         for m, i, j in pairs:
             if i not in used_t and j not in used_m:
-                w = self.word_weight.get(meant[j], 1.0)
-                used_t[i] = (m, w)
+                used_t[i] = (m, weights[j])
                 used_m.add(j)
-                dot += m * w * w
-        norm_m = sum(self.word_weight.get(w, 1.0) ** 2 for w in meant)
+                dot += m * weights[j] ** 2
+        norm_m = sum(w * w for w in weights)
         norm_t = sum(used_t[i][1] ** 2 if i in used_t else (0.7 * self.typical) ** 2 for i in range(len(typed)))
         score = dot / math.sqrt(norm_m * norm_t) if dot else 0.0
         if len(used_m) < len(meant):  # a word of the entry has no counterpart: it may be any entry with the others
             score *= PARTIAL
-        a, b = "".join(typed), self.joined[k]
+        a, b = "".join(typed), "".join(meant)
         if len(b) >= 6:  # words run together or torn apart, slips in more than one word
             most = 3 if len(b) >= 12 else 2
             # an edit changes at most two members of the sets of characters
-            d = distance(a, b, most) if score < 0.99 - 1e-9 and len(set(a) ^ self.letters[k]) <= 2 * most else most + 1
+            d = distance(a, b, most) if score < 0.99 - 1e-9 and len(set(a) ^ letters) <= 2 * most else most + 1
             if d <= most:
                 score = max(score, 0.99 - d / len(b))
         return score
 
-    def whole(self, typed: str, k: int) -> float:
-        d = distance(typed, self.joined[k], 2)
-        return (1.0, 0.9, 0.75, 0.0)[d] if len(self.joined[k]) >= 6 else float(d == 0)
+    def score(self, typed: list[str], meant: list[str], weights: list[float], letters: frozenset[str], cosine: float) -> float:
+        if self.rules.code:
+            d = distance(typed[0], meant[0], 2)
+            s = (1.0, 0.9, 0.75, 0.0)[d] if len(meant[0]) >= 6 else float(d == 0)
+        else:
+            s = self.soft(typed, meant, weights, letters)
+        return s + 1e-4 * cosine  # ties of the exact comparison go by the cosine
+
+    @staticmethod
+    def two_best(scored: Iterable[tuple[int, float]]) -> tuple[int, float, float]:
+        """Id and score of the best entry and the score of the next one; of equal ones the first in order."""
+        first, second, at = 0.0, 0.0, 0
+        for k, s in scored:
+            if s > first:
+                first, second, at = s, first, k
+            elif s > second:
+                second = s
+        return at, first, second
+
+
+class Index(Scorer):
+    """A list of bounded size with its inverted index of n-grams."""
+
+    def __init__(self, entries: list[tuple[int, str]], rules: Rules, share: float = CANDIDATE_SHARE, least: float = CANDIDATE_LEAST) -> None:
+        self.share, self.least = share, least
+        held = [(i, w) for i, x in entries if (w := read(x, rules, True))]
+        self.ids, self.words = [i for i, _ in held], [w for _, w in held]
+        df = Counter(w for ws in self.words for w in set(ws))
+        weight = {w: word_weight(len(entries), c) for w, c in df.items()}
+        super().__init__(rules, Counter(g for ws in self.words for g in features(ws, rules.code)), len(entries), float(np.mean(list(weight.values()))) if df else 1.0)
+        self.weights = [[weight[w] for w in ws] for ws in self.words]
+        self.letters = [frozenset("".join(ws)) for ws in self.words]
+        postings: dict[str, list] = defaultdict(list)
+        for k, ws in enumerate(self.words):
+            for g, w in self.vector(ws).items():
+                postings[g].append((k, w))
+        self.postings = {g: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for g, p in postings.items()}
+        self.results: dict[tuple[str, ...], tuple[int, float, float]] = {}
+
+    def cosines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries that share an n-gram, in order, and their cosines."""
+        hits = [(p[0], w * p[1]) for g, w in self.vector(words).items() if (p := self.postings.get(g)) is not None]
+        if not hits:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        sums = np.bincount(np.concatenate([h[0] for h in hits]), weights=np.concatenate([h[1] for h in hits]))
+        at = np.nonzero(sums)[0]
+        return at, sums[at]
 
     def best(self, value: str) -> tuple[int, float, float]:
-        """Id and score of the best entry and the score of the next one."""
-        words = [code_of(value)] if self.rules.code else words_of(value, self.rules.noise)
-        if not words or not words[0]:
+        words = read(value, self.rules)
+        if not words:
             return 0, 0.0, 0.0
         key = tuple(words)
         found = self.results.get(key)
         if found is None:
             if len(self.results) > 100_000:
                 self.results.clear()
-            found = self.results[key] = self._best(words)
+            at, cos = self.cosines(words)
+            low = max(self.least, self.share * cos.max()) if len(cos) else 0.0
+            found = self.results[key] = self.two_best((self.ids[k], self.score(words, self.words[k], self.weights[k], self.letters[k], c)) for k, c in zip(at.tolist(), cos.tolist()) if c >= low)
         return found
 
-    def _best(self, words: list[str]) -> tuple[int, float, float]:
-        cos = self.cosines(words)
-        top = cos.max() if len(cos) else 0.0
-        if top < CANDIDATE_LEAST:
-            return 0, 0.0, 0.0
-        first, second, at = 0.0, 0.0, -1
-        for k in np.nonzero(cos >= max(CANDIDATE_LEAST, CANDIDATE_SHARE * top))[0]:
-            s = self.whole(words[0], k) if self.rules.code else self.soft(words, k)
-            s += 1e-4 * float(cos[k])  # ties of the exact comparison go by the cosine
-            if s > first:
-                first, second, at = s, first, k
-            elif s > second:
-                second = s
-        return (self.ids[at] if at >= 0 else 0), first, second
-
 
 # ---- the operator ------------------------------------------------------------------------------------
 
 
-def _score(index: Index):
+SCORED = "value string, item_id bigint, first double, second double"
+
+
+def _by_index(mine: DataFrame, index: Index) -> DataFrame:
+    shipped = mine.sparkSession.sparkContext.broadcast(index)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix = shipped.value
+        for b in batches:
+            found = [ix.best(v) for v in b["value"]]
+            yield pd.DataFrame({"value": b["value"], "item_id": [f[0] for f in found], "first": [f[1] for f in found], "second": [f[2] for f in found]})
+
+    return mine.select("value").mapInPandas(run, SCORED)
+
+
+def _by_join(mine: DataFrame, own: DataFrame, rules: Rules, share: float, least: float) -> DataFrame:
+    """As ``_by_index``, for a list of any length."""
+
+    def entries_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [read(x, rules, True) for x in b["label"]]
+            yield pd.DataFrame({"item_id": b["item_id"], "words": words, "grams": [list(features(w, rules.code)) for w in words]})
+
+    entries = cut(own.mapInPandas(entries_of, "item_id bigint, words array<string>, grams array<string>"))
+    n = entries.count()
+    entries = entries.filter("size(words) > 0")
+    # words are of 36 letters and digits, so there are no more than 2 * (38 ** 2 + 38 ** 3) n-grams, some 110,000
+    grams = {r["g"]: r["n"] for r in entries.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    word = entries.select("item_id", F.posexplode("words").alias("k", "w"))
+    weight = cut(word.select("item_id", "w").distinct().groupBy("w").agg((1 + 0.25 * F.log((1 + n) / (1 + F.count(F.lit(1))))).alias("weight")))
+    typical = weight.agg(F.avg("weight")).first()[0] or 1.0
+    weighed = word.join(weight, "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("k", "w", "weight"))).alias("e"))
+    weighed = cut(weighed.select("item_id", F.transform("e", lambda e: e["w"]).alias("words"), F.transform("e", lambda e: e["weight"]).alias("weights")))
+    shipped = mine.sparkSession.sparkContext.broadcast(Scorer(rules, grams, n, typical))
+    slack = 0.9 * least
+
+    def rows_of(column: str, name: str, dropped: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = shipped.value
+            for b in batches:
+                rows = []
+                for key, x in zip(b[name], b[column]):
+                    v = sorted(scorer.vector(read(x, rules) if column == "value" else list(x)).items(), key=lambda gw: (gw[1], gw[0]))
+                    square, k = 0.0, 0
+                    while k < len(v) and square + v[k][1] ** 2 <= dropped**2:
+                        square, k = square + v[k][1] ** 2, k + 1
+                    rows.extend((key, g, w) for g, w in v[k:])
+                yield pd.DataFrame(rows, columns=[name, "g", "w"])
+
+        return run
+
+    values = mine.select("value").mapInPandas(rows_of("value", "value", slack), "value string, g string, w double")
+    postings = weighed.select("item_id", "words").mapInPandas(rows_of("words", "item_id", 0.0), "item_id bigint, g string, w double").withColumnRenamed("w", "x")
+    part = cut(values.join(postings, "g").groupBy("value", "item_id").agg(F.sum(F.col("w") * F.col("x")).alias("part")))
+    top = part.groupBy("value").agg(F.max("part").alias("top"))
+    near = part.join(top, "value").filter(F.col("part") + slack + 1e-9 >= F.greatest(F.lit(least), share * F.col("top"))).select("value", "item_id")
+    pairs = near.join(weighed, "item_id").groupBy("value").agg(F.array_sort(F.collect_list(F.struct("item_id", "words", "weights"))).alias("c"))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = shipped.value
         for b in batches:
-            found = [index.best(v) for v in b["value"]]
-            yield pd.DataFrame({"field_name": b["field_name"], "value": b["value"], "item_id": [f[0] for f in found], "first": [f[1] for f in found], "second": [f[2] for f in found]})
-
-    return run
-
-
-def _blocks(entries: DataFrame, rules: Rules, block: int) -> Iterator[Index]:
-    """Indexes of the list, block by block. Document frequencies cover the whole list; their number is
-    bounded by the alphabet."""
-    df: Counter = Counter()
-    n = 0
-    for r in entries.toLocalIterator():
-        df.update(set(features([code_of(r[1])] if rules.code else words_of(r[1]), rules.code)))
-        n += 1
-    held: list[tuple[int, str]] = []
-    for r in entries.toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            yield Index(held, rules, df, n)
-            held = []
-    if held:
-        yield Index(held, rules, df, n)
-
-
-def map_values(values: DataFrame, lists: DataFrame, rules: dict[str, Rules], block: int = BLOCK, floor: int = HEAVY_FLOOR) -> DataFrame:
+            rows = []
+            for value, c in zip(b["value"], b["c"]):
+                words = read(value, rules)
+                v = scorer.vector(words)
+                held = []
+                for e in c:
+                    meant = list(e["words"])
+                    u = scorer.vector(meant)
+                    held.append((e["item_id"], meant, list(e["weights"]), sum(w * u.get(g, 0.0) for g, w in v.items())))
+                low = max(least, share * max(h[3] for h in held))
+                best = scorer.two_best((i, scorer.score(words, m, ws, frozenset("".join(m)), cos)) for i, m, ws, cos in held if cos >= low)
+                rows.append((value, *best))
+            yield pd.DataFrame(rows, columns=["value", "item_id", "first", "second"])
+
+    found = pairs.mapInPandas(pick, SCORED)
+    return mine.select("value").join(found, "value", "left").select("value", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("item_id", "bigint"), ("first", "double"), ("second", "double"))])
+
+
+def map_values(values: DataFrame, lists: DataFrame, rules: dict[str, Rules], block: int = BLOCK, floor: int = HEAVY_FLOOR, share: float = CANDIDATE_SHARE, least: float = CANDIDATE_LEAST) -> DataFrame:
     """(field_name, row_id, item_id) of each non-blank value that is not literally an entry of its list.
 
     ``values``: field_name, row_id, value. ``lists``: item_id, list_name (a field's name), label. ``rules``
     has an entry for each field. Null, empty and white values are left out; a value that means no entry, or
     is as close to another one, gets item 0; so does every value if the list is empty. Repeated rows each
-    get a row.
+    get a row. A list of more than ``block`` entries is joined rather than sent to the workers, with the same result.
     """
     rows = values.select("field_name", "row_id", "value").filter(squeeze(F.col("value")) != "")
     exact = lists.select(F.col("list_name").alias("field_name"), F.col("label").alias("value")).distinct()
@@ -309,20 +383,11 @@ def map_values(values: DataFrame, lists: DataFrame, rules: dict[str, Rules], blo
     distinct = counted.select("field_name", "value")
     scored = None
     for name, rule in rules.items():
-        own = lists.filter(F.col("list_name") == name).select("item_id", "label").orderBy("item_id")
+        own = lists.filter(F.col("list_name") == name).select("item_id", "label")
         mine = distinct.filter(F.col("field_name") == name)
-        parts = [mine.mapInPandas(_score(ix), "field_name string, value string, item_id bigint, first double, second double") for ix in _blocks(own, rule, block)]
-        if not parts:
-            parts = [mine.select("field_name", "value", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("first"), F.lit(0.0).alias("second"))]
-        one = parts[0]
-        if len(parts) > 1:
-            for p in parts[1:]:
-                one = one.unionByName(p)
-            # the best over all blocks, and the better of its own second and the other blocks' first
-            top = F.max_by(F.struct("item_id", "first", "second"), F.struct("first", -F.col("item_id"))).alias("t")
-            firsts = F.array_sort(F.collect_list("first")).alias("f")  # one number a block
-            one = one.groupBy("field_name", "value").agg(top, firsts)
-            one = one.select("field_name", "value", "t.item_id", "t.first", F.greatest(F.col("t.second"), F.element_at("f", -2)).alias("second"))
+        held = own.orderBy("item_id").limit(block + 1).collect()
+        one = _by_index(mine, Index([tuple(r) for r in held], rule, share, least)) if len(held) <= block else _by_join(mine, own, rule, share, least)
+        one = one.withColumn("field_name", F.lit(name))
         sure = (F.col("first") >= rule.threshold) & (F.col("first") - F.col("second") >= rule.margin)
         one = one.select("field_name", "value", F.when(sure, F.col("item_id")).otherwise(F.lit(0)).cast("bigint").alias("item_id"))
         scored = one if scored is None else scored.unionByName(one)

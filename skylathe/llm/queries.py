@@ -26,11 +26,23 @@ def p3_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies(table(spark, d, "aircraft_annotation_datafile"))[1]
 
 
+#: Words of the trade that say where a part is or in what state, not what it is, and marks around names and numbers.
+NAME = Rules(
+    noise=frozenset("THE NEW OLD SPARE LEFT RIGHT LH RH L R H ENG ENGINE ASSY ASSEMBLY A AN OF".split()),
+    edits=((r"\bS\s*/?\s*N\s*[:.#]?\s*\d+\b", " "), (r"#\s*\d+\s+CYL\b", " "), (r"\b([LR])\s*/\s*H\b", r"\1H")),
+)
+NUMBER = Rules(
+    code=True,
+    edits=((r"^\W*(?:P\s*/?\s*N\b[\s:.#-]*|P/?N(?=[A-Z]{2}\d|\d))", ""), (r"(?:\(\s*NEW\s*\)|\bREV\.?\s*[A-Z0-9]\b|[\s*])+$", "")),
+    alike=("OISBZ", "01582"),
+)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ext, cat = table(spark, d, "problem_extractions_regex"), table(spark, d, "parts_catalog")
     one = lambda df, name: df.select(F.lit(name).alias("field_name"), "row_id", F.col(name).alias("value"))
     values = one(ext, "part").unionByName(one(cat, "part_type")).unionByName(one(cat, "part_number"))
-    return map_values(values, table(spark, d, "canonical_items"), {"part": Rules(), "part_type": Rules(), "part_number": Rules(code=True)})
+    return map_values(values, table(spark, d, "canonical_items"), {"part": NAME, "part_type": NAME, "part_number": NUMBER})
 
 
 def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
