@@ -16,6 +16,11 @@ QUOTED = r"""(?<![\w"])"(?:[^"]|"")*"(?![\w"])|(?<![\w'])'(?:[^']|'')*'(?![\w'])
 # L/H, R/H and fractions are no separators.
 SLASH = r"/(?<!(?<![A-Za-z0-9])[LRlr]/(?=[Hh](?![A-Za-z0-9])))(?<![0-9]/(?=[0-9]))"
 SEPARATOR = rf"(?i)[;,|&+\t\r\n]|{SLASH}|(?<=\s)AND(?=\s)"
+# In a field of numbers white space and every / part values too.
+NUMBER_SEPARATOR = r"[;,|&+/\s]+"
+# Words that mark numbers or stand between them, and are none themselves.
+NUMBER_MARK = r"(?i)^(?:CYLINDERS?|CYLS?|NOS?|AND)?$"
+NUMBER = r"(?i)^(?:CYLINDERS?|CYLS?|NOS?)?([0-9]+|ALL)$"
 OPEN, SHUT, ESC = "\ue000", "\ue001", "\ue002"
 
 
@@ -42,7 +47,7 @@ def _unquote(span: Column) -> Column:
     return F.replace(F.substring(span, F.lit(2), F.length(span) - 2), F.concat(mark, mark), mark)
 
 
-def packed_values(c: Column) -> Column:
+def packed_values(c: Column, separator: str = SEPARATOR) -> Column:
     """Array of the values in a field; null gives null, a field without values an empty array.
 
     Separators: ; , | & + tab, line end, the word AND, and / except in L/H, R/H and fractions. A separator
@@ -52,7 +57,7 @@ def packed_values(c: Column) -> Column:
     text = _trim(_escape(c))
     text = F.when(text.rlike(r"(?s)^\[.*\]$"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     # fields without quotes, the most, take the short way
-    plain = F.split(text, SEPARATOR)
+    plain = F.split(text, separator)
     spans = F.regexp_extract_all(text, F.lit(QUOTED), 0)
     around = F.split(text, QUOTED, -1)
     marked = F.array_join(F.transform(around, lambda p, i: F.when(i < F.size(around) - 1, F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(SHUT))).otherwise(p)), "")
@@ -64,7 +69,7 @@ def packed_values(c: Column) -> Column:
         inside = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(spans, p.try_cast("int"))).otherwise(p)), "")
         return F.when(alone, _unquote(F.get(spans, F.get(parts, F.lit(1)).try_cast("int")))).when(F.contains(whole, F.lit(OPEN)), inside).otherwise(whole)
 
-    quoted = F.transform(F.split(marked, SEPARATOR), back)
+    quoted = F.transform(F.split(marked, separator), back)
     raw = F.when(text.rlike("[\"']"), quoted).otherwise(F.transform(plain, _trim))
     return F.filter(F.transform(raw, lambda v: _trim(_restore(v))), lambda v: v != "")
 
@@ -72,12 +77,19 @@ def packed_values(c: Column) -> Column:
 def packed_numbers(c: Column) -> Column:
     """Array of the bare numbers (or ALL) in a field of cylinder numbers.
 
-    Besides the separators of ``packed_values``, white space and every / part values here; #, CYL, NO.,
-    quotes and brackets around a number go.
+    Values are parted as in ``packed_values``, and by white space and every /; #, CYL, NO., quotes and brackets
+    around a number go. A piece that is no number is kept as it is written, so nothing goes without a trace.
     """
-    text = F.upper(F.regexp_replace(c, r"[\[\]\"'#(){}.:]", " "))
-    pieces = F.split(text, r"[;,|&+/\s]+")
-    return F.filter(F.transform(pieces, lambda p: F.regexp_extract(p, r"^(?:CYLINDERS?|CYLS?|NO)?([0-9]+|ALL)$", 1)), lambda v: v != "")
+
+    def bare(piece: Column) -> Column:
+        return F.regexp_replace(piece, r"^[#()\[\]{}.:\"']+|[#()\[\]{}.:\"']+$", "")
+
+    def number(piece: Column) -> Column:
+        digits = F.regexp_extract(F.regexp_replace(piece, r"[#().:]", ""), NUMBER, 1)
+        return F.when(digits != "", F.upper(digits)).otherwise(piece)
+
+    pieces = F.filter(F.transform(packed_values(c, NUMBER_SEPARATOR), bare), lambda p: ~p.rlike(NUMBER_MARK))
+    return F.transform(pieces, number)
 
 
 def explode_values(df: DataFrame, table_name: str, field: str, values: Column, row_id: str = "row_id", least: int = 2) -> DataFrame:

@@ -26,7 +26,27 @@ kid AS (SELECT p, c FROM (SELECT l.p, l.c, row_number() OVER (PARTITION BY l.p O
 ch(name, head, pos) AS (SELECT name, name, 0 FROM names WHERE name NOT IN (SELECT c FROM kid) UNION ALL SELECT k.c, ch.head, ch.pos + 1 FROM ch JOIN kid k ON k.p = ch.name),
 tied AS (SELECT t.name, lo.low FROM top t JOIN lo ON lo.name = t.root)"""
 
+# tokens of a field: quoted spans, words with what follows them, white space, single signs; separators part them
+_TOKEN = r"""'"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[0-9A-Za-z_]*[0-9](?:/[0-9]+)+["'']*|[LRlr]/[Hh]\b|[0-9A-Za-z_]+["'']*|\s+|(?s:.)'"""
+_PACKED = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS field_name, row_id, regexp_extract_all(CASE WHEN x LIKE '[%]' THEN x[2:-2] ELSE x END, {_TOKEN}) AS toks
+ FROM (SELECT row_id, regexp_replace({c}, '^\\s+|\\s+$', '', 'g') AS x FROM {t} WHERE {c} IS NOT NULL)"""
+    for t, c in (("aircraft_annotation_datafile", "part"), ("aircraft_annotation_datafile", "location"))
+)
+_PIECES = f"""p AS (SELECT row_number() OVER () AS k, * FROM ({_PACKED})),
+u AS (SELECT k, table_name, field_name, row_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM p),
+sep AS (SELECT *, tok IN (';', ',', '|', '&', '+', '/') OR regexp_matches(tok, '^\\s*[\\t\\r\\n]\\s*$')
+ OR (upper(tok) = 'AND' AND regexp_matches(coalesce(lag(tok) OVER w, ''), '^\\s+$') AND regexp_matches(coalesce(lead(tok) OVER w, ''), '^\\s+$')) AS cut FROM u WINDOW w AS (PARTITION BY k ORDER BY i)),
+g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY k ORDER BY i) AS n FROM sep),
+whole AS (SELECT k, table_name, field_name, row_id, n, trim(string_agg(tok, '' ORDER BY i)) AS item FROM g WHERE NOT cut GROUP BY ALL),
+bare AS (SELECT k, table_name, field_name, row_id, n, trim(CASE WHEN regexp_full_match(item, '"(?:[^"]|"")*"') THEN replace(item[2:-2], '""', '"')
+ WHEN regexp_full_match(item, '''(?:[^'']|'''')*''') THEN replace(item[2:-2], '''''', '''') ELSE item END) AS item FROM whole),
+cyl AS (SELECT row_id, list_filter(regexp_split_to_array(regexp_replace(upper(cylinders), '[^A-Z0-9;,|&+/\\s]', '', 'g'), '[;,|&+/\\s]+'), lambda x: x NOT IN ('', 'AND', 'CYL', 'NO')) AS v FROM problem_extractions_regex)"""
+
 ORACLES = {
+    "p5_found": f"""WITH {_PIECES}, r AS (SELECT table_name, field_name, row_id, row_number() OVER (PARTITION BY k ORDER BY n) AS pos, item, count(*) OVER (PARTITION BY k) AS m FROM bare WHERE item <> '')
+ SELECT table_name, field_name, row_id, pos, item FROM r WHERE m > 1
+ UNION ALL SELECT 'problem_extractions_regex', 'cylinders', row_id, generate_subscripts(v, 1), regexp_replace(unnest(v), '^(CYL|NO)', '') FROM cyl WHERE len(v) > 1""",
     "p1_found": f"SELECT ref_table, ref_field, row_id FROM ({_REFS}) r WHERE k IS NOT NULL AND {_ORPHAN}",
     "p1_orphan_counts": f"""SELECT ref_table, ref_field, strftime(lt, '%Y-%m') AS period, count(*) AS n_refs,
  CAST(sum(CASE WHEN {_ORPHAN} THEN 1 ELSE 0 END) AS BIGINT) AS n_orphans FROM ({_REFS}) r WHERE k IS NOT NULL GROUP BY ALL""",

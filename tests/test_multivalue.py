@@ -24,7 +24,7 @@ def test_values(spark, text, want):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("1&4", ["1", "4"]), ("#1/2/3", ["1", "2", "3"]), ("3 5 6 3", ["3", "5", "6", "3"]), ("CYL 2; NO. 4", ["2", "4"]), ("[1, 2]", ["1", "2"]), ("all", ["ALL"]), ('"1";"2"', ["1", "2"]), ("1,,2,", ["1", "2"]), ("9, 9 AND 8", ["9", "9", "8"]), ("", [])],
+    [("1&4", ["1", "4"]), ("#1/2/3", ["1", "2", "3"]), ("3 5 6 3", ["3", "5", "6", "3"]), ("CYL 2; NO. 4", ["2", "4"]), ("[1, 2]", ["1", "2"]), ("all", ["ALL"]), ('"1";"2"', ["1", "2"]), ("1,,2,", ["1", "2"]), ("9, 9 AND 8", ["9", "9", "8"]), ("", []), ('"1", "2"', ["1", "2"]), ("(1) [2]", ["1", "2"]), ("CYL#3 CYL. 4", ["3", "4"]), ("5A, FRONT;1-4", ["5A", "FRONT", "1-4"]), ("'7'/cylinder 8 and no. 9", ["7", "8", "9"]), ("All; 1", ["ALL", "1"])],
 )
 def test_numbers(spark, text, want):
     assert split(spark, text, packed_numbers) == want
