@@ -173,9 +173,9 @@ def _loops(links: DataFrame, names: DataFrame, most: int) -> DataFrame:
     count = -1
     while True:
         ahead = walk.select(F.col("id").alias("at"), F.col("jump").alias("next"), F.col("low").alias("far"))
-        walk = cut(lookup(walk, "jump", ahead, "at", "inner", most=most).select("id", F.col("next").alias("jump"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("less")))
+        walk, less = cut_count(lookup(walk, "jump", ahead, "at", "inner", most=most).select("id", F.col("next").alias("jump"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("less")), "less")
         on = walk.select(F.col("jump").alias("id")).distinct()
-        now, less = walk.join(on, "id", "left_semi").agg(F.count(F.lit(1)), F.count_if("less")).first()
+        now = on.count()
         walk = walk.drop("less")
         if now == count and not less:
             return walk.join(on, "id", "left_semi").select("id", F.col("low").alias("loop_min"))
@@ -190,15 +190,27 @@ def _chains(forest: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     heavy = pick.select("id", F.lit(True).alias("follows"))
     state = forest.join(heavy, "id", "left").select("id", "parent", "size", F.when(F.col("follows"), F.col("parent")).alias("up"))
     state = cut(state.withColumn("chain", F.coalesce("up", "id")).withColumn("pos", F.when(F.col("up").isNotNull(), 1).otherwise(0)))
-    # nodes that have reached the first node of their chain stay as they are; the others look up the node ahead
+    # nodes that have reached the first node of their chain are put aside; the others hop three times along the links
+    # of the last round, so the links grow fourfold
     step = state.select("id", F.coalesce("up", "id").alias("up"), "pos", F.col("up").isNull().alias("there"))
-    open_ = most
-    while open_:
-        ahead = step.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("pos").alias("more"), F.col("there").alias("then"))
-        moved = lookup(step.filter(~F.col("there")), "up", ahead, "at", "inner", most=open_).select("id", F.col("next").alias("up"), (F.col("pos") + F.col("more")).alias("pos"), F.col("then").alias("there"))
-        step = cut(step.filter("there").unionByName(moved))
-        open_ = step.filter(~F.col("there")).count()
-    return cut(state.select("id", "parent", "size").join(step.select("id", F.col("up").alias("chain"), "pos"), "id"))
+    parts, open_ = [step.filter("there")], most
+    step = step.filter(~F.col("there"))
+    while True:
+        ahead = step
+        for p in parts:
+            ahead = ahead.unionByName(p)
+        ahead = ahead.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("pos").alias("more"), F.col("there").alias("then"))
+        for _ in range(3):
+            step = lookup(step, "up", ahead, "at", "inner", most=open_).select("id", F.col("next").alias("up"), (F.col("pos") + F.col("more")).alias("pos"), F.col("then").alias("there"))
+        moved, n = cut_count(step, "NOT there")
+        parts.append(moved.filter("there"))
+        if not n:
+            break
+        step, open_ = moved.filter(~F.col("there")), n
+    there = parts[0]
+    for p in parts[1:]:
+        there = there.unionByName(p)
+    return cut(state.select("id", "parent", "size").join(there.select("id", F.col("up").alias("chain"), "pos"), "id"))
 
 
 def _chain_tree(placed: DataFrame, most: int) -> DataFrame:
@@ -228,8 +240,7 @@ def _chain_tree(placed: DataFrame, most: int) -> DataFrame:
             (F.col("chain_depth") + F.col("depth2")).alias("chain_depth"),
             F.concat("over2", "over").alias("over"),
         )
-        state = cut(done.unionByName(moved))
-        hanging = state.filter(F.col("up").isNotNull()).count()
+        state, hanging = cut_count(done.unionByName(moved), "up IS NOT NULL")
     return state.select("chain", F.col("root_chain").alias("root"), "chain_depth", "over")
 
 

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "skylathe", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -70,11 +71,11 @@ def passing_cuts(spark: SparkSession) -> Iterator[None]:
         remove_cuts(spark, start)
 
 
-def _write(df: DataFrame) -> DataFrame:
+def _write(df: DataFrame, read: DataFrame | None = None) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     _CUTS.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema((read or df).schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -86,7 +87,11 @@ def cut(df: DataFrame) -> DataFrame:
     return _write(df)
 
 
-def cut_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut`` and the number of rows, from the footers of what was written: exact even if tasks were run twice."""
-    out = _write(df)
-    return out, out.count()
+def cut_count(df: DataFrame, which: str = "true") -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, or of those for which an expression holds, counted as they are written.
+
+    The count is taken in the tasks that write, of each of which one attempt is committed and counts.
+    """
+    rows = Observation()
+    out = _write(df.observe(rows, F.expr(f"count_if({which})").alias("n")), df)
+    return out, rows.get["n"]
