@@ -7,6 +7,7 @@ equi-join. Only variables that may be unbound need a join on compatibility.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,14 +16,20 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..operators.closure import closure
+from ..session import cut
 from .algebra import Bgp, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Pattern, Query, Union, Values, Var
 from .sparql import SparqlError, parse
 
 
+#: Most pairs of solutions that parts of a pattern without a common variable may make.
+PRODUCT_ROWS = 10_000_000
+
+
 @dataclass
 class Rel:
     df: DataFrame
     sure: dict[str, bool]  #: variable -> always bound
+    raw: DataFrame | None = None  #: the same solutions, possibly repeated, where that is cheaper
 
     @property
     def names(self) -> list[str]:
@@ -64,14 +71,20 @@ class Planner:
             df = self.edges(pat.p)
             cols = (("s", pat.s), ("o", pat.o))
         seen: dict[str, str] = {}
+        tests = []
         for c, t in cols:
             if not isinstance(t, Var):
-                df = df.filter(F.col(c) == t)
+                tests.append(F.col(c) == t)
             elif t.name in seen:
-                df = df.filter(F.col(c) == F.col(seen[t.name]))
+                tests.append(F.col(c) == F.col(seen[t.name]))
             else:
                 seen[t.name] = c
-        return Rel(df.select(*[F.col(c).alias(n) for n, c in seen.items()]), dict.fromkeys(seen, True))
+
+        def kept(rows: DataFrame) -> DataFrame:
+            return reduce(DataFrame.filter, tests, rows).select(*[F.col(c).alias(n) for n, c in seen.items()])
+
+        repeated = self.store.rows(pat.p) if isinstance(pat.p, str) and self.scope is None else None
+        return Rel(kept(df), dict.fromkeys(seen, True), kept(repeated) if repeated is not None else None)
 
     def seed(self, t: Var | str, bound: Rel | None, column: str) -> DataFrame | None:
         """The values an end of a path can have, if known."""
@@ -118,51 +131,103 @@ class Planner:
         return pairs.unionByName(same).distinct()
 
     def bgp(self, node: Bgp, given: Rel | None = None) -> Rel:
+        """Patterns joined in an order that stays connected. Groups of patterns without a common variable are put
+        together at the end."""
         left = list(node.patterns)
+        groups: list[Rel] = []
         out = given
         while left:
             have = set(out.names) if out is not None else set()
 
+            def ends(p: Pattern) -> list:
+                return [p.s, p.o] if isinstance(p.p, Path) else [p.s, p.p, p.o]
+
+            def linked(p: Pattern) -> int:
+                return sum(isinstance(t, Var) and t.name in have for t in ends(p))
+
             def rank(p: Pattern) -> tuple:
-                ends = [p.s, p.o]
-                fixed = sum(not isinstance(t, Var) for t in ends)
-                linked = sum(isinstance(t, Var) and t.name in have for t in ends)
-                return (out is None or bool(linked), fixed + linked, not isinstance(p.p, (Path, Var)), fixed)
+                fixed = sum(not isinstance(t, Var) for t in (p.s, p.o))
+                return (out is None or bool(linked(p)), fixed + linked(p), not isinstance(p.p, (Path, Var)), fixed)
 
             best = max(left, key=rank)
+            if out is not None and not linked(best) and any(isinstance(t, Var) for t in ends(best)):
+                groups.append(out)
+                out = None
+                continue
             left.remove(best)
             rel = self.pattern(best, out)
             out = rel if out is None else self.join(out, rel, unique=not isinstance(best.p, Path))
-        return out if out is not None else self.unit()
+        if out is None:
+            out = self.unit()
+        for g in reversed(groups):
+            out = self.join(g, out)
+        return out
 
     # ---- joins -------------------------------------------------------------------------------------
 
+    def product(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """All pairs of rows, where a query asks for them because nothing links its parts; refused above
+        ``PRODUCT_ROWS`` pairs, which are counted before."""
+        few, many = sorted((a.count(), b.count()))
+        if few * many > PRODUCT_ROWS:
+            raise SparqlError(f"parts of the pattern share no variable: {few} x {many} solutions")
+        return a.crossJoin(b)
+
+    @staticmethod
+    def divided(a: Rel, b: Rel, shared: list[str]) -> Iterator[tuple[DataFrame, DataFrame, list[str]]]:
+        """Both sides by which of the shared variables are bound, and the variables bound in both: each two rows meet
+        in one of the parts, where they are compatible if they are equal in these variables."""
+
+        def parts(r: Rel) -> Iterator[tuple[DataFrame, set[str]]]:
+            open_ = [n for n in shared if not r.sure[n]]
+            for mask in range(1 << len(open_)):
+                bound = {n for k, n in enumerate(open_) if mask >> k & 1}
+                df = r.df
+                for n in open_:
+                    df = df.filter(F.col(n).isNotNull() if n in bound else F.col(n).isNull())
+                yield df, bound | {n for n in shared if r.sure[n]}
+
+        for da, in_a in parts(a):
+            for db, in_b in parts(b):
+                yield da, db, [n for n in shared if n in in_a and n in in_b]
+
+    def compatible(self, a: Rel, b: Rel, shared: list[str], keep: list[str]) -> DataFrame:
+        """Pairs of compatible rows with the columns ``keep``; each part of the rows is an equi-join."""
+        out = []
+        for da, db, on in self.divided(a, b, shared):
+            right = db.select(*[F.col(n).alias(f"__r_{n}") if n in shared and n not in on else F.col(n) for n in b.names])
+            both = da.join(right, on) if on else self.product(da, right)
+            out.append(both.select(*[F.coalesce(n, f"__r_{n}").alias(n) if n in shared and n not in on else F.col(n) for n in keep]))
+        return reduce(DataFrame.unionByName, out)
+
     def join(self, a: Rel, b: Rel, how: str = "inner", unique: bool = False) -> Rel:
         shared = [n for n in b.names if n in a.sure]
-        if not shared:
-            if how == "inner":
-                df = a.df.crossJoin(b.df)  # a product is what the query asks for
-            else:
-                df = a.df.join(b.df, F.lit(True), how)
-            return Rel(df, a.sure | {n: s and how == "inner" for n, s in b.sure.items()})
-        certain = all(a.sure[n] and b.sure[n] for n in shared)
-        if certain:
+        names = list(dict.fromkeys(a.names + b.names))
+        if not shared and how == "inner":
+            one = not a.names or not b.names  # no variables: one solution or none
+            return Rel(a.df.crossJoin(b.df) if one else self.product(a.df, b.df), a.sure | b.sure)
+        if shared and all(a.sure[n] and b.sure[n] for n in shared):
             if how == "inner" and unique and set(b.names) <= set(a.names):
-                return Rel(a.df.join(b.df, shared, "left_semi"), a.sure)
+                return Rel(a.df.join(b.raw if b.raw is not None else b.df, shared, "left_semi"), a.sure)
             df = a.df.join(b.df, shared, how)
-            return Rel(df.select(*dict.fromkeys(a.names + b.names)), a.sure | {n: s and how == "inner" for n, s in b.sure.items() if n not in a.sure})
-        right = b.df.select(*[F.col(n).alias(f"__r_{n}") if n in shared else F.col(n) for n in b.names])
-        on = reduce(lambda x, y: x & y, [(F.col(n) == F.col(f"__r_{n}")) if a.sure[n] and b.sure[n] else (F.col(n) == F.col(f"__r_{n}")) | F.col(n).isNull() | F.col(f"__r_{n}").isNull() for n in shared])
-        df = a.df.join(right, on, how)
-        names = list(dict.fromkeys(a.names + b.names))
-        df = df.select(*[F.coalesce(n, f"__r_{n}").alias(n) if n in shared else F.col(n) for n in names])
+            return Rel(df.select(*names), a.sure | {n: s and how == "inner" for n, s in b.sure.items() if n not in a.sure})
         sure = {n: (a.sure.get(n, False) or (b.sure.get(n, False) and how == "inner")) for n in names}
-        return Rel(df, sure)
+        if how == "inner":
+            return Rel(self.compatible(a, b, shared, names), sure)
+        # rows of the left side without a match stay as they are; they are told apart by a number that is written down
+        rows = cut(a.df.withColumn("__row", F.monotonically_increasing_id()))
+        numbered = Rel(rows, a.sure | {"__row": True})
+        met = cut(self.compatible(numbered, b, shared, ["__row", *names]))
+        alone = rows.join(met.select("__row").distinct(), "__row", "left_anti")
+        alone = alone.select(*[F.col(n) if n in a.sure else F.lit(None).cast("string").alias(n) for n in names])
+        return Rel(met.drop("__row").unionByName(alone), sure)
 
     def rel(self, node, given: Rel | None = None) -> Rel:
         if isinstance(node, Bgp):
             return self.bgp(node)
         if isinstance(node, Join):
+            if isinstance(node.left, Bgp) and isinstance(node.right, Bgp):
+                return self.bgp(Bgp([*node.left.patterns, *node.right.patterns]))
             left = self.rel(node.left)
             if isinstance(node.right, Bgp):  # paths on the right start from what the left has bound
                 return self.bgp(node.right, left if left.names else None) if all(left.sure.values()) else self.join(left, self.bgp(node.right))
@@ -178,7 +243,7 @@ class Planner:
             if cond is None:
                 return self.join(a, b, "left")
             key = "__row"
-            numbered = Rel(a.df.withColumn(key, F.monotonically_increasing_id()), a.sure)
+            numbered = Rel(cut(a.df.withColumn(key, F.monotonically_increasing_id())), a.sure)
             both = self.join(Rel(numbered.df, a.sure | {key: True}), b)
             kept = both.df.filter(self.truth(cond, both))
             fresh = [n for n in b.names if n not in a.sure]
@@ -241,22 +306,38 @@ class Planner:
             return a
         if all(a.sure[n] and b.sure[n] for n in shared):
             return Rel(a.df.join(b.df.select(*shared).distinct(), shared, "left_anti"), a.sure)
-        right = b.df.select(*[F.col(n).alias(f"__r_{n}") for n in shared]).distinct()
-        fits = reduce(lambda x, y: x & y, [(F.col(n) == F.col(f"__r_{n}")) | F.col(n).isNull() | F.col(f"__r_{n}").isNull() for n in shared])
-        some = reduce(lambda x, y: x | y, [F.col(n).isNotNull() & F.col(f"__r_{n}").isNotNull() for n in shared])
-        return Rel(a.df.join(right, fits & some, "left_anti"), a.sure)
+        return Rel(self.without(a, b, shared, False), a.sure)
+
+    def without(self, a: Rel, b: Rel, shared: list[str], unlinked: bool) -> DataFrame:
+        """Rows of ``a`` less those a row of ``b`` is compatible with; ``unlinked``: also if they share no bound variable."""
+        few = Rel(cut(b.df.select(*shared).distinct()), {n: b.sure[n] for n in shared})
+        out: dict[int, DataFrame] = {}
+        order: list[DataFrame] = []
+        for da, db, on in self.divided(a, few, shared):
+            if id(da) not in out:
+                order.append(da)
+                out[id(da)] = da
+            left = out[id(da)]
+            if on:
+                out[id(da)] = left.join(db.select(*on).distinct(), on, "left_anti")
+            elif unlinked and db.limit(1).count():
+                out[id(da)] = left.limit(0)
+        return reduce(DataFrame.unionByName, [out[id(d)] for d in order])
 
     def exists(self, a: Rel, node, negated: bool) -> Rel:
         b = self.rel(node)
         shared = [n for n in b.names if n in a.sure]
         how = "left_anti" if negated else "left_semi"
         if not shared:
-            return Rel(a.df.join(b.df.limit(1), F.lit(True), how), a.sure)
+            return a if bool(b.df.limit(1).count()) != negated else Rel(a.df.limit(0), a.sure)
         if all(a.sure[n] and b.sure[n] for n in shared):
             return Rel(a.df.join(b.df.select(*shared).distinct(), shared, how), a.sure)
-        right = b.df.select(*[F.col(n).alias(f"__r_{n}") for n in shared]).distinct()
-        on = reduce(lambda x, y: x & y, [(F.col(n) == F.col(f"__r_{n}")) | F.col(n).isNull() | F.col(f"__r_{n}").isNull() for n in shared])
-        return Rel(a.df.join(right, on, how), a.sure)
+        if negated:
+            return Rel(self.without(a, b, shared, True), a.sure)
+        few = Rel(cut(b.df.select(*shared).distinct()), {n: b.sure[n] for n in shared})
+        rows = cut(a.df.withColumn("__row", F.monotonically_increasing_id()))
+        out = self.without(Rel(rows, a.sure | {"__row": True}), few, shared, True)
+        return Rel(rows.join(out.select("__row"), "__row", "left_anti").drop("__row"), a.sure)
 
     # ---- expressions -------------------------------------------------------------------------------
 

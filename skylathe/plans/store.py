@@ -24,6 +24,10 @@ class QuadStore:
     def predicate(self, p: str) -> DataFrame:
         return self.quads.filter(F.col("p") == p).select("s", "o").distinct()
 
+    def rows(self, p: str) -> DataFrame:
+        """As ``predicate``, but triples may be repeated: for semi-joins, which do not mind."""
+        return self.quads.filter(F.col("p") == p).select("s", "o")
+
     def graph(self, g: str | None = None) -> DataFrame:
         return self.quads.select("g", "s", "p", "o").distinct() if g is None else self.quads.filter(F.col("g") == g).select("s", "p", "o").distinct()
 
@@ -46,13 +50,17 @@ class MappedStore:
         self.spark, self.plans, self.name = spark, plans, name
         self.made: dict[str, DataFrame] = {}
 
+    def rows(self, p: str) -> DataFrame:
+        """As ``predicate``, but triples may be repeated: for semi-joins, which do not mind."""
+        if p not in self.plans:
+            return self.spark.createDataFrame([], "s string, o string")
+        if p not in self.made:
+            plan = self.plans[p]
+            self.made[p] = (plan if isinstance(plan, DataFrame) else plan()).select("s", "o")
+        return self.made[p]
+
     def predicate(self, p: str) -> DataFrame:
-        if p in self.plans:
-            if p not in self.made:
-                plan = self.plans[p]
-                self.made[p] = (plan if isinstance(plan, DataFrame) else plan()).select("s", "o").distinct()
-            return self.made[p]
-        return self.spark.createDataFrame([], "s string, o string")
+        return self.rows(p).distinct()
 
     def triples(self) -> DataFrame:
         out = self.spark.createDataFrame([], "s string, p string, o string")

@@ -16,3 +16,10 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", sorted(O))
 def test_same_as_sql(spark, name):
     same(spark, DATA, Q[name], O[name])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_no_graph_query_loops_over_pairs(spark):
+    for name in kg_queries.QUERIES:
+        plan = kg_queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

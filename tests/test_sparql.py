@@ -105,3 +105,48 @@ def test_saved_quads_prune_by_predicate(spark, store, tmp_path):
 def test_parse_keeps_structure():
     q = parse(P + "SELECT DISTINCT ?s WHERE { ?s a :F ; :n ?v , 3 . FILTER(?v > 1) } ORDER BY ?s LIMIT 5")
     assert (q.distinct, q.limit, len(q.order)) == (True, 5, 1)
+
+
+def plan(store, text):
+    return run(store, P + text)._jdf.queryExecution().executedPlan().toString()
+
+
+OPEN = [
+    "SELECT ?s ?l ?v { ?s :dep ?o OPTIONAL { ?s :label ?l } OPTIONAL { ?v :label ?l } }",
+    "SELECT ?s ?v { ?s a :F OPTIONAL { ?s :n ?v } { SELECT ?v ?t { ?t :n ?v } } }",
+    "SELECT ?s ?v { ?s :dep ?o OPTIONAL { ?s :n ?v } MINUS { ?s a :F OPTIONAL { ?s :n ?v } } }",
+]
+
+
+@pytest.mark.parametrize("text", OPEN)
+def test_open_variables_are_compatible(store, text):
+    """Against the definition: solutions are compatible if they agree in what both bind."""
+    label = [("a", "x@"), ("a", "x"), ("d", "hi")]
+    dep = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
+    num = {"a": "3", "b": "5.5"}
+    if text == OPEN[0]:
+        want = []
+        for s, _ in dep:
+            mine = [x for a, x in label if a == s] or [None]
+            for x in mine:
+                want += [(s, v) for v, y in label if x is None or x == y] or [(s, None)]
+        got = [(r["s"].replace(M, ""), r["v"].replace(M, "") if r["v"] else None) for r in run(store, P + text).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    elif text == OPEN[1]:
+        assert rows(store, text) == sorted([(s, str(float(num[s])) if "." in num[s] else num[s]) for s in "ab"])
+    else:
+        assert [r[0] for r in rows(store, text)] == ["c", "c"]
+
+
+@pytest.mark.parametrize("text", [OPEN[1].replace("{ SELECT ?v ?t { ?t :n ?v } }", "OPTIONAL { ?s :label ?v }"), "SELECT ?a ?d { ?a :dep ?b . ?c :label ?d . ?b :dep ?c }"])
+def test_no_loops_over_pairs(store, text):
+    assert "NestedLoop" not in plan(store, text) and "Cartesian" not in plan(store, text)
+
+
+def test_products_are_refused_above_a_size(store, monkeypatch):
+    text = "SELECT ?a ?c { ?a a :F . ?c :label ?d }"
+    assert len(rows(store, text)) == 6
+    monkeypatch.setattr("skylathe.plans.planner.PRODUCT_ROWS", 5)
+    with pytest.raises(SparqlError):
+        run(store, P + text)
+    assert rows(store, "SELECT ?c { :a a :F . ?c :n 3 }") == [("a",)]
