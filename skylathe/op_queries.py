@@ -202,7 +202,7 @@ def cost_sum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sha_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, LOG).select("row_id", F.sha2(F.concat_ws("|", "ident", "problem", "action"), 256).alias("key"))
+    return table(spark, d, LOG).select("row_id", S.cache_key(F.col("action"), F.col("ident"), F.col("problem")).alias("key"))
 
 
 _NAMES = (
@@ -354,5 +354,5 @@ ORACLES = {
  SELECT row_id, value, coalesce(fixed, ul.iri, ll.iri, v.key, '') AS canonical FROM v LEFT JOIN ul ON ul.key = v.key LEFT JOIN ll ON ll.key = v.key WHERE value IS NOT NULL""",
     "json_extract": "SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events",
     "cost_sum": "SELECT source, count(*) AS calls, sum(greatest(1, length(text) // 4))::BIGINT AS tokens, round(sum(0.000002 * greatest(1, length(text) // 4) + 0.0001)::DOUBLE, 6) AS cost FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "sha_key": f"SELECT row_id, sha256(concat_ws('|', ident, problem, action)) AS key FROM {LOG}",
+    "sha_key": f"SELECT row_id, sha256('{{' || array_to_string(list_filter(['\"action\":' || to_json(action), '\"ident\":' || to_json(ident), '\"problem\":' || to_json(problem)], lambda x: x IS NOT NULL), ',') || '}}') AS key FROM {LOG}",
 }

@@ -119,8 +119,9 @@ def macro_micro(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def mean_std(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean and sample deviation per group; the deviation of one value is 0."""
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("std"))
+    """Mean and sample deviation per group; the deviation of one value is 0, those of none are NaN."""
+    nan = F.lit(float("nan"))
+    return df.groupBy(*by).agg(F.coalesce(F.avg(value), nan).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.coalesce(F.stddev_samp(value), nan)).alias("std"))
 
 
 def estimate_tokens(c: Column) -> Column:

@@ -72,12 +72,28 @@ def passing_cuts(spark: SparkSession) -> Iterator[None]:
 
 
 def _write(df: DataFrame, read: DataFrame | None = None) -> DataFrame:
-    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    _CUTS.append(path)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema((read or df).schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that is not used yet; it goes with the tables of ``cut``."""
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    return path
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder; survives the loss of executors.
 

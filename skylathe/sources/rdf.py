@@ -6,7 +6,6 @@ nodes are scoped to their file.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -228,9 +227,24 @@ def read_files(spark: SparkSession, paths: list[str], on_error: str = "raise") -
     return files.mapInPandas(run, "g string, s string, p string, o string")
 
 
+_LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+
+
+def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o) of N-Triples, line by line, so that large files are divided among tasks. Terms are taken as they
+    are written; blank and comment lines are left out, any other line that is no triple is an error."""
+    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    hit = F.regexp_extract("value", _LINE, 1) != ""
+    checked = F.when(hit, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no triple: "), F.col("value"))))
+    return lines.select(checked.alias("value")).select(*[F.regexp_extract("value", _LINE, i + 1).alias(c) for i, c in enumerate("spo")])
+
+
 def read_directory(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".ttl", ".trig", ".nt"), exclude_prefix: str | None = None, on_error: str = "skip") -> DataFrame:
     """Quads of the files of a folder in order of their names; a missing folder is an error."""
-    if not os.path.isdir(folder):
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
         raise FileNotFoundError(folder)
-    names = sorted(n for n in os.listdir(folder) if n.endswith(suffixes) and not (exclude_prefix and n.startswith(exclude_prefix)))
-    return read_files(spark, [os.path.join(folder, n) for n in names], on_error)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(where))
+    names = [n for n in names if n.endswith(suffixes) and not (exclude_prefix and n.startswith(exclude_prefix))]
+    return read_files(spark, [f"{folder.rstrip('/')}/{n}" for n in names], on_error)

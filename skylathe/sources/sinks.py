@@ -24,7 +24,7 @@ DCTERMS = "http://purl.org/dc/terms/"
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def ntriples(triples: DataFrame) -> DataFrame:

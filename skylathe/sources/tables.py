@@ -12,22 +12,23 @@ from pyspark.sql import functions as F
 LOG = logging.getLogger(__name__)
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
-    """A table with a header, all columns strings, quoted line ends kept, empty fields null.
+def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", infer: bool = False, one_line: bool = False) -> DataFrame:
+    """A table with a header, quoted line ends kept, empty fields null. A byte-order mark goes.
 
-    With ``columns`` the header is not read and types need no inference. A byte-order mark goes.
+    Columns are strings; with ``infer`` they get the types their values have. With ``columns`` the header is not
+    read. ``one_line``: no value has a line end, so that large files are divided among tasks; else each is one task's.
     """
-    r = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    r = spark.read.option("header", True).option("sep", sep).option("multiLine", not one_line).option("inferSchema", infer).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
     df = r.schema(", ".join(f"`{c}` string" for c in columns)).csv(path) if columns else r.csv(path)
     return df.toDF(*[c.replace("﻿", "").strip('"') for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    return read_delimited(spark, path, columns)
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, **kw: bool) -> DataFrame:
+    return read_delimited(spark, path, columns, **kw)
 
 
-def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    return read_delimited(spark, path, columns, "\t")
+def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None, **kw: bool) -> DataFrame:
+    return read_delimited(spark, path, columns, "\t", **kw)
 
 
 def keep_empty(df: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@ import pytest
 from compare import same
 from compare import DATA
 
-from skylathe import kg_queries, op_queries, oracles, queries
+from skylathe import io_queries, kg_queries, op_queries, oracles, queries
 
-Q = {**queries.QUERIES, **kg_queries.QUERIES, **op_queries.QUERIES}
-O = {**oracles.ORACLES, **kg_queries.ORACLES, **op_queries.ORACLES}
+Q = {**queries.QUERIES, **kg_queries.QUERIES, **op_queries.QUERIES, **io_queries.QUERIES}
+O = {**oracles.ORACLES, **kg_queries.ORACLES, **op_queries.ORACLES, **io_queries.ORACLES}
 
 
 def test_every_oracle_has_a_query():

@@ -111,6 +111,18 @@ def plan(store, text):
     return run(store, P + text)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("text", ['SELECT ?x (COUNT(DISTINCT ?y) AS ?n) { VALUES (?x ?z) { (:a UNDEF) } ?x a [ :p "v"@en , 3 ; :q/(:r|^:s)+ ?y ] OPTIONAL { ?y :t ?u FILTER(?u IN (1, 2) && BOUND(?u)) } { ?a :b ?c } UNION { GRAPH ?g { ?c :d ?e } } BIND(COALESCE(?l, STR(?y)) AS ?k) MINUS { ?x :z ?y } } GROUP BY ?x HAVING (COUNT(?y) > 1) ORDER BY DESC(?x) LIMIT 3'])
+def test_unfinished_queries_end(text):
+    """Every beginning of a query is parsed or refused."""
+    words = text.split(" ")
+    for k in range(len(words)):
+        try:
+            parse(P + " ".join(words[:k]))
+        except SparqlError:
+            pass
+    parse(P + text)
+
+
 OPEN = [
     "SELECT ?s ?l ?v { ?s :dep ?o OPTIONAL { ?s :label ?l } OPTIONAL { ?v :label ?l } }",
     "SELECT ?s ?v { ?s a :F OPTIONAL { ?s :n ?v } { SELECT ?v ?t { ?t :n ?v } } }",
