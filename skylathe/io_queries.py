@@ -16,6 +16,7 @@ from .kg_queries import _node, with_
 from .operators import linking as L
 from .operators import retrieval as R
 from .operators import scoring as S
+from .operators.tagging import annotate
 from .operators.validation import Property, Shape, violations
 from .plans import lift, report
 from .plans.planner import run
@@ -283,10 +284,37 @@ def report_chart(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "label string, value double")
 
 
+def io_result_form(spark: SparkSession, d: str) -> DataFrame:
+    """Solutions written in the JSON result form and read back."""
+    path = scratch(spark)
+    q = 'SELECT ?f ?l ?none { ?c :hasFunction ?f . ?f rdfs:label ?l OPTIONAL { ?f :nothing ?none } }'
+    sinks.write_result(run(Maintenance(spark, d).store(), K.PREFIXES + q, encoded=True), path)
+    cell = "struct<type: string, value: string, datatype: string>"
+    lines = spark.read.text(path).filter(F.col("value").rlike('^,?[{]"f"'))
+    one = F.from_json(F.regexp_replace("value", "^,", ""), f"f {cell}, l {cell}, none {cell}")
+    return lines.select(one.alias("r")).select(F.col("r.f.type").alias("kind"), F.col("r.f.value").alias("f"), F.col("r.l.type").alias("l_kind"), F.col("r.l.value").alias("l"), F.col("r.none.value").alias("none"))
+
+
+def text_annotations(spark: SparkSession, d: str) -> DataFrame:
+    a = annotate(table(spark, d, O.LOG)).select("ident", F.explode("spans").alias("s"))
+    return a.select("ident", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "s.label")
+
+
+def cached_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by key, else by path: columns that fit first, then as many rows as asked for, then the smallest key."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    path = lambda c: F.col(c).cast("string").alias("path")
+    asked = nation.select(F.col("n_name").alias("key"), path("n_regionkey"), F.array(F.lit("name")).alias("columns"), (F.col("n_nationkey") % 3).cast("int").alias("gold_size"))
+    held = nation.filter("n_nationkey % 4 = 0").select(F.col("n_name").alias("key"), path("n_regionkey"), F.array(F.lit("other")).alias("columns"), F.array("n_name").alias("rows"))
+    more = [region.select(F.concat(F.lit(p), "r_name").alias("key"), path("r_regionkey"), F.array(F.lit("name")).alias("columns"), F.array_repeat("r_name", n).alias("rows")) for p, n in (("y", 1), ("z", 2))]
+    out = S.cached_answers(asked, held.unionByName(more[0]).unionByName(more[1]))
+    return out.select("key", F.get("answer_columns", F.lit(0)).alias("column"), F.size("answer_rows").alias("n"), F.get("answer_rows", F.lit(0)).alias("first"))
+
+
 _NAMES = (
     "io_csv io_csv_types io_tsv io_keep_empty io_ntriples io_turtle io_trig io_one_graph io_union_of_graphs io_directory io_directory_less_prefix io_canonical io_catalog io_sssom io_sssom_rdf "
     "link_simplified link_idf_stop kg_trouble_lift kg_parts_lift_classes kg_action_lift kg_literal_seeds kg_retrieval_text kg_shapes kg_count_by_three_keys json_records score_lenient score_mean_of_none "
-    "context_hash price_cost report_status report_chart"
+    "context_hash price_cost report_status report_chart io_result_form text_annotations cached_replies"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -328,7 +356,18 @@ _QUESTIONS = """q AS (SELECT feed || ' ' || strftime(loaded_at, '%Y-%m') AS ques
 c AS (SELECT question, v, count(*) FILTER (side = 'g') AS g, count(*) FILTER (side = 'p') AS p FROM (SELECT question, 'g' AS side, g AS v FROM q WHERE g IS NOT NULL UNION ALL SELECT question, 'p', p FROM q WHERE p IS NOT NULL) GROUP BY ALL),
 t AS (SELECT question, sum(least(g, p))::BIGINT AS tp, sum(g)::BIGINT AS g, sum(p)::BIGINT AS p FROM c GROUP BY 1)"""
 
+_VALS = lambda c: f"list_transform(list_filter(list_transform(string_split({c}, CASE WHEN contains({c}, ';') THEN ';' ELSE ',' END), lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('none', 'nan')), lambda x: {{'v': x, 'label': '{c}'}})"
+_SPANS = f"""WITH RECURSIVE r AS (SELECT row_id, ident, problem AS t, coalesce({_VALS('location')}, []) || coalesce({_VALS('part')}, []) || coalesce({_VALS('tggedproblem')}, []) AS vals FROM {O.LOG} WHERE trim(problem, ' ') <> ''),
+s(k, row_id, ident, t, vals, spans) AS (SELECT 0, row_id, ident, t, vals, CAST([] AS STRUCT(a BIGINT, z BIGINT, label VARCHAR)[]) FROM r
+ UNION ALL SELECT k + 1, row_id, ident, t, vals, CASE WHEN pos IS NULL THEN spans ELSE list_append(spans, {{'a': pos, 'z': pos + len(val.v), 'label': val.label}}) END
+ FROM (SELECT *, list_filter(range(0, len(t)), lambda i: lower(t[i + 1:i + len(val.v)]) = lower(val.v) AND len(list_filter(spans, lambda x: NOT (i + len(val.v) <= x.a OR i >= x.z))) = 0)[1] AS pos FROM (SELECT *, vals[k + 1] AS val FROM s WHERE k < len(vals))))
+SELECT ident, x.a::INT AS start, x.z::INT AS stop, x.label AS label FROM (SELECT ident, unnest(spans) AS x FROM s WHERE k = len(vals))"""
+
 ORACLES = {
+    "io_result_form": with_("hf", "lab") + "SELECT 'uri' AS kind, hf.o AS f, 'literal' AS l_kind, lab.o AS l, NULL AS none FROM hf JOIN lab ON lab.s = hf.o",
+    "text_annotations": _SPANS,
+    "cached_replies": """WITH c AS (SELECT n_name AS k, n_regionkey AS p, 'other' AS c, 1 AS n, n_name AS f FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'y' || r_name, r_regionkey, 'name', 1, r_name FROM region UNION ALL SELECT 'z' || r_name, r_regionkey, 'name', 2, r_name FROM region)
+ SELECT n_name AS key, c.c AS "column", c.n, c.f AS first FROM nation JOIN c ON c.p = n_regionkey QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY c.k = n_name DESC, c.c = 'name' DESC, c.n = n_nationkey % 3 DESC, c.k) = 1""",
     "io_csv": "SELECT row_id::VARCHAR AS row_id, nullif(section_name, '') AS section_name, nullif(figure, '') AS figure, figure_item::VARCHAR AS figure_item, nullif(part_number, '') AS part_number, nullif(part_type, '') AS part_type, nullif(specifics, '') AS specifics FROM parts_catalog",
     "io_csv_types": "SELECT row_id, figure_item + 1 AS next_item, nullif(part_number, '') AS part_number FROM parts_catalog",
     "io_tsv": "SELECT row_id::VARCHAR AS row_id, nullif(component, '') AS component, nullif(has_function, '') AS has_function FROM component_functions",

@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import DC, RDF, XSD, iri, literal
+from ..functions.terms import DC, RDF, XSD, datatype, iri, is_bnode, is_iri, literal, text
 from ..session import cut
 
 OWL = "http://www.w3.org/2002/07/owl#"
@@ -236,10 +236,39 @@ def result_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def result_bindings(df: DataFrame) -> DataFrame:
+    """(value): one binding of the JSON result form of SPARQL for each solution, given its encoded terms; unbound
+    variables are left out."""
+
+    def term(c: str):
+        t = F.col(f"`{c}`")
+        kind = F.when(is_iri(t), "uri").when(is_bnode(t), "bnode").otherwise("literal")
+        lang = F.nullif(F.regexp_extract(t, r'(?s)^".*"@([A-Za-z0-9-]+)$', 1), F.lit(""))
+        value = F.when(is_bnode(t), F.substring(t, F.lit(3), F.length(t))).otherwise(text(t))
+        return F.when(t.isNotNull(), F.struct(kind.alias("type"), value.alias("value"), lang.alias("xml:lang"), F.regexp_extract(datatype(t), "<(.*)>", 1).alias("datatype"))).alias(c)
+
+    return df.select(F.to_json(F.struct(*[term(c) for c in df.columns])).alias("value"))
+
+
+def write_result(df: DataFrame, path: str) -> None:
+    """Solutions in the JSON result form of SPARQL, written by the workers; the files in order of their names are the document."""
+    spark = df.sparkSession
+    head = json.dumps({"head": {"vars": df.columns}})[:-1] + ', "results": {"bindings": ['
+    ends = spark.createDataFrame([(0, head), (2, "]}}")], "part int, value string")
+    numbered = result_bindings(df).select(F.lit(1).alias("part"), "value")
+    first = cut(numbered.withColumn("k", F.monotonically_increasing_id()))
+    low = first.agg(F.min("k")).first()[0]
+    rows = first.select("part", F.when(F.col("k") == (low if low is not None else -1), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"), "k")
+    whole = rows.unionByName(ends.withColumn("k", F.lit(0).cast("bigint")))
+    whole.repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
+
+
 def serialise(result) -> tuple[str, object]:
-    """Kind of a query result and what to show: a boolean, triples as text lines, or JSON rows."""
+    """Kind of a query result and what to show: a boolean, triples or quads as text, or JSON rows."""
     if isinstance(result, bool):
         return "boolean", result
     if result.columns == ["s", "p", "o"]:
         return "graph", ntriples(result)
+    if result.columns == ["g", "s", "p", "o"]:
+        return "graphs", trig_blocks(result)
     return "solutions", result_json(result)

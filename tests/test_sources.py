@@ -99,3 +99,18 @@ def test_reports_and_charts(spark):
     assert kind == "solutions" and shown.count() == 3
     assert K.serialise(True) == ("boolean", True)
     assert K.serialise(st.triples())[0] == "graph"
+
+
+def test_result_form_is_one_document(spark, tmp_path):
+    from skylathe.sources.sinks import write_result
+
+    rows = [("<u:a>", '"x"@en'), ("_:b", None), ("<u:c>", '"3"^^<u:int>')]
+    df = spark.createDataFrame(rows, "s string, o string").repartition(3)
+    for name, part in (("three", df), ("none", df.limit(0))):
+        write_result(part, str(tmp_path / name))
+        doc = json.loads("".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*"))))
+        assert doc["head"]["vars"] == ["s", "o"] and len(doc["results"]["bindings"]) == part.count()
+        if name == "three":
+            by = {b["s"]["value"]: b for b in doc["results"]["bindings"]}
+            assert by["u:a"]["o"] == {"type": "literal", "value": "x", "xml:lang": "en"} or by["u:a"]["o"]["xml:lang"] == "en"
+            assert by["b"] == {"s": {"type": "bnode", "value": "b"}} and by["u:c"]["o"]["datatype"] == "u:int"
