@@ -384,7 +384,9 @@ def map_values(values: DataFrame, lists: DataFrame, rules: dict[str, Rules], blo
     scored = None
     for name, rule in rules.items():
         own = lists.filter(F.col("list_name") == name).select("item_id", "label")
-        mine = distinct.filter(F.col("field_name") == name)
+        # few bytes and much work: spread by what forms of one value share, so that a task scores them once
+        spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        mine = distinct.filter(F.col("field_name") == name).select("value").repartition(spread, F.regexp_replace(F.upper("value"), "[^A-Z0-9]", ""))
         held = own.orderBy("item_id").limit(block + 1).collect()
         one = _by_index(mine, Index([tuple(r) for r in held], rule, share, least)) if len(held) <= block else _by_join(mine, own, rule, share, least)
         one = one.withColumn("field_name", F.lit(name))
