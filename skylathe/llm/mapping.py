@@ -113,6 +113,16 @@ def distance(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with needs no edit
+    n, k = min(len(a), len(b)), 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    e = 0
+    while e < n - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    a, b = a[k : len(a) - e], b[k : len(b) - e]
+    if not a or not b:
+        return len(a) + len(b)
     before2: list[int] = []
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -100,6 +100,23 @@ def test_held_out_typos(spark):
     assert sum(got[i] == k for i, (_, k) in enumerate(cases)) >= 0.98 * len(cases)
 
 
+def test_distance_against_the_whole_table():
+    def whole(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rnd = random.Random(6)
+    for _ in range(4000):
+        a, b = ("".join(rnd.choice("ABC") for _ in range(rnd.randrange(7))) for _ in range(2))
+        most = rnd.randrange(4)
+        assert distance(a, b, most) == min(whole(a, b), most + 1)
+
+
 def test_pieces():
     assert words_of("#4 CYL L/H oil_cooler  S/N 77", NAME, True) == ["LH", "OIL", "COOLER"]
     assert code_of("PN: ZK-4O1 rev b", NUMBER) == code_of("zk401", NUMBER)
