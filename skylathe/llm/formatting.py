@@ -27,14 +27,17 @@ def canonical_text(c: Column) -> Column:
 
 def encode(df: DataFrame, row_id: str, texts: list[str], floor: int = HEAVY_FLOOR) -> DataFrame:
     """(row_id, codes): the sorted integers of each record's texts; records blank in all texts are left out."""
-    # an array column and an explode read the table once; blank texts go before anything is shuffled
+    # an array column and an explode read the table once; blank texts go before anything is shuffled. A text is sent
+    # once, to be made distinct; everything else goes by 128 bits of its hash
+    short = lambda c: F.unhex(F.md5(c))
     slots = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.explode(F.array(*[F.col(t) for t in texts])).alias("raw")).filter(F.col("raw").rlike(r"[\p{L}\p{N}]"))
-    raw = slots.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-    words = cut(raw.select("raw", "n", canonical_text(F.col("raw")).alias("canon"), (F.monotonically_increasing_id() + 1).alias("id")))
+    slots = slots.withColumn("key", short("raw"))
+    raw = slots.groupBy("key").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("n"))
+    words = cut(raw.select("key", "n", short(canonical_text(F.col("raw"))).alias("canon"), (F.monotonically_increasing_id() + 1).alias("id")))
     forms = words.groupBy("canon").agg(F.min("id").alias("code"), F.count(F.lit(1)).alias("n"))
     hot = heavy_keys(words.select("canon", F.lit(1).alias("n")), ["canon"], "n", floor=floor)
-    codes = skew_join(words.select("raw", "canon"), forms.drop("n"), ["canon"], hot, "inner").select("raw", "code")
-    coded = skew_join(slots, codes, ["raw"], heavy_keys(words, ["raw"], "n", floor=floor), "inner")
+    codes = skew_join(words.select("key", "canon"), forms.drop("n"), ["canon"], hot, "inner").select("key", "code")
+    coded = skew_join(slots.select("row_id", "key"), codes, ["key"], heavy_keys(words, ["key"], "n", floor=floor), "inner")
     tuples = coded.groupBy("row_id").agg(F.collect_list("code").alias("codes"))  # at most one code per text column
     return tuples.select("row_id", F.array_sort("codes").alias("codes"))
 
