@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import number_rows
+
 # The grammars of problems and actions, and what is taken off a location.
 PLACE = r"(?:(?:L|R)/H ?(?:REAR )?(?:AFT )?(?:ENG(?:INE)?,? ?)?)?(?:CYL(?:INDER)? ?)?(?:ALL )?(?:#?\d(?: ?. \d)*)?(?: CYL(?:INDER)? ?)?"
 PROBLEM = (
@@ -121,19 +123,8 @@ def label_values(c: Column) -> Column:
 
 
 def batches(df: DataFrame, order: str, size: int = 20) -> DataFrame:
-    """(batch, rows): fixed batches of the rows in an order, numbered from 0.
-
-    Row numbers come from counts per range partition, so the order is total without one task seeing all rows.
-    """
-    from ..session import cut
-
-    part = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_pid", F.spark_partition_id()))
-    from pyspark.sql import Window
-
-    counts = part.groupBy("_pid").count()  # one row a partition
-    before = counts.select("_pid", F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    n = F.row_number().over(Window.partitionBy("_pid").orderBy(order)) - 1
-    numbered = part.withColumn("_n", n).join(F.broadcast(before), "_pid").withColumn("_n", F.col("_n") + F.col("_off"))
+    """(batch, rows): fixed batches of the rows in an order, numbered from 0."""
+    numbered = number_rows(df, order).withColumn("_n", F.col("row_no") - 1)
     row = F.struct("_n", *df.columns)
     out = numbered.groupBy(F.floor(F.col("_n") / size).cast("bigint").alias("batch")).agg(F.array_sort(F.collect_list(row)).alias("rows"))  # ``size`` rows
     return out.select("batch", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in df.columns])).alias("rows"))

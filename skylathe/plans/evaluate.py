@@ -40,6 +40,9 @@ class Settings:
     seed: int = 0
     seed_step: int = 1
     cache_only: bool = True
+    #: most gold rows and triples of a context that a question may have; more is an error, as they go through the driver
+    most_rows: int = 100_000
+    most_triples: int = 1_000_000
 
     def __post_init__(self) -> None:
         if not 0 <= self.lenience <= 1:
@@ -80,7 +83,10 @@ def context_of(store, name: str, query: str, s: Settings) -> Context:
     """Gold rows and context of one question."""
     result = run(store, query, prefixes=s.prefixes)
     columns = result.columns
-    gold = [["" if v is None else str(v) for v in r] for r in result.collect()]
+    rows = result.limit(s.most_rows + 1).collect()
+    if len(rows) > s.most_rows:
+        raise ValueError(f"{name} has more than {s.most_rows} gold rows")
+    gold = [["" if v is None else str(v) for v in r] for r in rows]
     triples = store.triples()
     names = R.seed_names(query, s.base)
     extra = [r["seed"] for r in R.literal_seeds(triples, query, s.base).collect()]
@@ -91,11 +97,14 @@ def context_of(store, name: str, query: str, s: Settings) -> Context:
         sub = R.khop(triples, triples.sparkSession.createDataFrame([(x,) for x in seeds], "n string"), s.depth)
     sub = sub.persist()
     try:
+        size = sub.count()
+        if size > s.most_triples:
+            raise ValueError(f"the context of {name} has {size} triples, more than {s.most_triples}")
         kinds = R.term_types(sub).collect()
         counts = R.predicate_breakdown(sub).orderBy(F.col("predicate") == "__other__", F.desc("count"), "predicate").collect()
         by = lambda side: {r["term_type"]: r["count"] for r in sorted(kinds, key=lambda r: r["term_type"]) if r["position"] == side}
         text = stable_text(sub)
-        return Context(name, question_of(query, name), query, columns, gold, [x.strip("<>") for x in seeds], text, sub.count(), [r.asDict() for r in counts], by("subject"), by("object"), R.retrieval_text(seeds, s.depth, "full" if s.depth is None else "subgraph"))
+        return Context(name, question_of(query, name), query, columns, gold, [x.strip("<>") for x in seeds], text, size, [r.asDict() for r in counts], by("subject"), by("object"), R.retrieval_text(seeds, s.depth, "full" if s.depth is None else "subgraph"))
     finally:
         sub.unpersist()
 

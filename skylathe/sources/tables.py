@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LOG = logging.getLogger(__name__)
 
 
@@ -97,5 +99,12 @@ def price_table(spark: SparkSession, rows: list[tuple[str, float | None, float |
 
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with row_no from 1 per the order, for small tables."""
-    return df.withColumn("row_no", F.row_number().over(Window.orderBy(order)))
+    """``df`` with row_no from 1 per the order.
+
+    Row numbers come from counts per range partition, so the order is total without one task seeing all rows.
+    """
+    part = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_pid", F.spark_partition_id()))
+    counts = part.groupBy("_pid").count()  # one row a partition
+    before = counts.select("_pid", F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    own = F.row_number().over(Window.partitionBy("_pid").orderBy(order))
+    return part.withColumn("_n", own).join(F.broadcast(before), "_pid").select(*df.columns, (F.col("_n") + F.col("_off")).alias("row_no"))

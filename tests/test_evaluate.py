@@ -36,6 +36,12 @@ def test_context(store):
     assert E.context_of(store, "q1", Q1, settings(depth=None)).triples == 6
 
 
+def test_questions_above_a_size_are_refused(store):
+    for bound in ({"most_rows": 1}, {"most_triples": 3}):
+        with pytest.raises(ValueError):
+            E.context_of(store, "q1", Q1, settings(**bound))
+
+
 def test_runs_scores_and_cache(store):
     replies = {"Which parts does a need?": '```json\n{"columns": ["x"], "rows": [["bee"], ["m:q"]]}\n```', "Who is named S-1?": "sorry"}
     calls = []

@@ -114,3 +114,10 @@ def test_result_form_is_one_document(spark, tmp_path):
             by = {b["s"]["value"]: b for b in doc["results"]["bindings"]}
             assert by["u:a"]["o"] == {"type": "literal", "value": "x", "xml:lang": "en"} or by["u:a"]["o"]["xml:lang"] == "en"
             assert by["b"] == {"s": {"type": "bnode", "value": "b"}} and by["u:c"]["o"]["datatype"] == "u:int"
+
+
+def test_row_numbers_are_total(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1009 AS n", "1 AS row_no_before").repartition(7)
+    got = [(r["n"], r["row_no"]) for r in T.number_rows(df, "n").orderBy("n").collect()]
+    assert [k for _, k in got] == list(range(1, 1001))
+    assert T.number_rows(df.limit(0), "n").count() == 0

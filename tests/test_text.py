@@ -134,3 +134,26 @@ def test_tagging(spark, tmp_path):
     assert {r["part"] for r in G.tag(df, phrases.limit(0)).collect()} == {""}
     train, test = G.train_test(df)
     assert train.count() + test.count() == 3
+
+
+def test_perceptron_on_held_out_lines(spark):
+    import random
+
+    rnd = random.Random(4)
+    places, parts, faults = ["#1 CYL", "#2 CYL", "R/H ENG", "NOSE BOWL", "TOP DECK"], ["INTAKE GASKET", "OIL COOLER", "ROCKER COVER", "WASTEGATE CLAMP", "BAFFLE"], ["LEAKING", "CRACKED", "WORN OUT", "LOOSE", "CHAFED"]
+    rows = []
+    for i in range(500):
+        p, q, f = rnd.choice(places), rnd.choice(parts), rnd.choice(faults)
+        rows.append((str(i), rnd.choice([f"{p} {q} {f}.", f"{q} AT {p} IS {f}", f"FOUND {f} {q} ON {p}, REPAIRED"]), p, q, f))
+    df = spark.createDataFrame(rows, "ident string, problem string, location string, part string, tggedproblem string")
+    train, test = df.filter("int(ident) < 300"), df.filter("int(ident) >= 300")
+    model = G.train_perceptron(G.annotate(train), rows=250)
+    got = {r["id"]: (r["location"], r["part"], r["tggedproblem"]) for r in G.tag_perceptron(test, model).collect()}
+    want = {r[0]: r[2:] for r in rows[300:]}
+    assert sum(got[i] == w for i, w in want.items()) >= 0.95 * len(want)
+    # a part that was never annotated is told by what stands around it
+    new = spark.createDataFrame([("x", "#2 CYL SPINNER MOUNT LEAKING.", None, None, None), ("y", " ", None, None, None), ("z", None, None, None, None)], df.schema)
+    assert [(r["id"], r["part"]) for r in G.tag_perceptron(new, model).collect()] == [("x", "SPINNER MOUNT")]
+    assert {r["part"] for r in G.tag_perceptron(new, model.limit(0)).collect()} == {""}
+    empty = G.train_perceptron(G.annotate(df.limit(0)))
+    assert empty.count() == 0
