@@ -260,7 +260,7 @@ def score_mean_of_none(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_hash(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(sinks.text_hash(sinks.stable_text(O._around(spark, d))),)], "hash string")
+    return sinks.stable_hash(O._around(spark, d))
 
 
 def price_cost(spark: SparkSession, d: str) -> DataFrame:

@@ -133,7 +133,7 @@ _SEEDS = [f"<{BASE}ExhaustTrunk>", f"<{BASE}FuelFeedTrunk>"]
 def _around(spark: SparkSession, d: str) -> DataFrame:
     m = Maintenance(spark, d)
     n = lambda x: F.lit(f"<{BASE}{x}>").alias("p")
-    t = m.has_function().select("s", n("hasFunction"), "o").unionByName(m.component_dependencies().select("s", n("dependsOn"), "o")).unionByName(m.sub_function_of().select("s", n("subFunctionOf"), "o")).distinct()
+    t = m.has_function().select("s", n("hasFunction"), "o").unionByName(m.component_dependencies().select("s", n("dependsOn"), "o")).unionByName(m.sub_function_of().select("s", n("subFunctionOf"), "o"))
     return R.khop(t, spark.createDataFrame([(s,) for s in _SEEDS], "n string"), 1)
 
 

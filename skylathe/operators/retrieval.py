@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import BASE, is_bnode, is_iri, literal_py, text
-from ..session import cut
+from ..session import cut, cut_count
+
+#: Most nodes that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def seed_names(query: str, base: str = BASE) -> list[str]:
@@ -30,13 +33,15 @@ def literal_seeds(triples: DataFrame, query: str, base: str = BASE) -> DataFrame
 
 
 def khop(triples: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
-    """Triples with an end at most ``depth`` steps from a seed, in either direction; only IRIs are walked on.
+    """Distinct triples with an end at most ``depth`` steps from a seed, in either direction; only IRIs are walked on.
 
-    No seeds: all triples. Depth 0 counts as 1. Per round the frontier meets the triples in two joins and loses the
-    nodes already visited.
+    No seeds: all triples. Depth 0 counts as 1. The triples are written down once, repeated ones included, as each round
+    reads them; the frontier meets them in two joins and loses the nodes already visited. What is near is found in one
+    pass and made distinct then, so the other triples are never shuffled unless what is near is too large to broadcast.
     """
     if not seeds.limit(1).count():
         return triples
+    triples = cut(triples)
     visited = cut(seeds.select(F.col(seeds.columns[0]).alias("n")).distinct())
     frontier = visited
     for _ in range(max(1, depth)):
@@ -44,10 +49,9 @@ def khop(triples: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
         back = triples.join(frontier.withColumnRenamed("n", "o"), "o", "left_semi").select(F.col("s").alias("n"))
         frontier = cut(out.unionByName(back).filter(is_iri("n")).distinct().join(visited, "n", "left_anti"))
         visited = visited.unionByName(frontier)
-    near = cut(visited)
-    left = triples.join(near.withColumnRenamed("n", "s"), "s", "left_semi")
-    right = triples.join(near.withColumnRenamed("n", "o"), "o", "left_semi")
-    return left.unionByName(right).distinct()
+    near, n = cut_count(visited)
+    side = lambda c: (F.broadcast(near) if n <= BROADCAST_ROWS else near).select(F.col("n").alias(c), F.lit(True).alias(f"near_{c}"))
+    return triples.join(side("s"), "s", "left").join(side("o"), "o", "left").filter("near_s or near_o").select(*triples.columns).distinct()
 
 
 def term_type(c: str):

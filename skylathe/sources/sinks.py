@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import DC, RDF, XSD, datatype, iri, is_bnode, is_iri, literal, text
-from ..session import cut
+from ..session import cut, cut_count
 
+#: Characters of the text of a graph that are hashed at a time.
+BLOCK = 1 << 20
 OWL = "http://www.w3.org/2002/07/owl#"
 PROV = "http://www.w3.org/ns/prov#"
 DCTERMS = "http://purl.org/dc/terms/"
@@ -73,9 +76,9 @@ def canonical_lines(triples: DataFrame) -> DataFrame:
     """
     t = triples.select("s", "p", "o").distinct()
     blank = lambda c: F.startswith(c, F.lit("_:"))
-    if not t.filter(blank("s") | blank("o")).limit(1).count():
+    t, blanks = cut_count(t, "startswith(s, '_:') or startswith(o, '_:')")
+    if not blanks:
         return ntriples(t)
-    t = cut(t)
     nodes = cut(t.select(F.explode(F.array("s", "o")).alias("b")).filter(blank("b")).distinct())
     n = nodes.count()
     nodes, kinds = _refine(t, nodes.withColumn("h", F.lit("")), 0)
@@ -116,6 +119,45 @@ def text_hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _blocks(batches: Iterator) -> Iterator:
+    """(first, text) of sorted lines: texts of about ``BLOCK`` characters of different lines, with their first line."""
+    import pyarrow as pa
+
+    last, held, size = None, [], 0
+    for b in batches:
+        for line in b.column(0).to_pylist():
+            if line == last:
+                continue
+            held.append(line)
+            last, size = line, size + len(line) + 1
+            if size >= BLOCK:
+                yield pa.RecordBatch.from_pydict({"first": held[:1], "text": ["\n".join(held) + "\n"]})
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict({"first": held[:1], "text": ["\n".join(held) + "\n"]})
+
+
+def _hash_of_texts(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    h = hashlib.sha256()
+    for b in batches:
+        for text in b.column("text"):
+            h.update(text.as_buffer())
+    yield pa.RecordBatch.from_pydict({"hash": [h.hexdigest()]})
+
+
+def stable_hash(triples: DataFrame) -> DataFrame:
+    """(hash): one row, the ``text_hash`` of the ``stable_text`` of a graph of any size.
+
+    The workers sort the lines and put them together to blocks, which are told apart and ordered by their first lines.
+    A hash has to be taken in order, so one task reads the blocks, a batch at a time; the driver sees none of them.
+    """
+    blocks = canonical_lines(triples).orderBy("line").mapInArrow(_blocks, "first string, text string")
+    none = triples.sparkSession.range(1).select(F.lit("").alias("first"), F.lit("").alias("text"))  # an empty graph has a hash too
+    return blocks.unionByName(none).repartition(1).sortWithinPartitions("first").mapInArrow(_hash_of_texts, "hash string")
+
+
 def file_hash(path: str) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:

@@ -1,10 +1,14 @@
 import random
 
+import pyarrow as pa
 import pytest
+from compare import DATA
 
 from skylathe.functions.terms import RDF, XSD, escape, unescape
+from skylathe.io_queries import context_hash
+from skylathe.sources import sinks
 from skylathe.sources.rdf import RdfError, parse_rdf, read_directory, read_files
-from skylathe.sources.sinks import canonical_lines, stable_text, trig_blocks, write_ntriples
+from skylathe.sources.sinks import canonical_lines, stable_hash, stable_text, text_hash, trig_blocks, write_ntriples
 
 TTL = """@prefix : <https://example.org/m#> . @base <https://example.org/b/> .
 # a comment
@@ -106,3 +110,28 @@ def test_literals_come_back(spark):
     texts = ["\ue010", "a\\nb", "\\", "\\\\n", '"\n\t\r', "", "\\\ue010\\"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r["u"] for r in df.select(unescape(escape("t")).alias("u")).collect()] == texts
+
+
+def test_hash_of_a_graph_is_taken_off_the_driver(spark, monkeypatch):
+    """As the hash of its text: over several partitions and repeated lines, with blank nodes, and of no triples."""
+    many = [(f"<u:{k % 97}>", "<u:p>", f'"{k} é\U0001f600"') for k in range(500)]
+    for rows in (many * 2, ring(6, 3, 3) + [("<u:a>", "<u:p>", "_:b0")], []):
+        df = spark.createDataFrame(rows, "s string, p string, o string").repartition(5)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = [r["hash"] for r in stable_hash(df).collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == [text_hash(stable_text(df))]
+    sent, frame = [], type(df)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.append(rows := collect(self)) or rows)
+    assert context_hash(spark, str(DATA)).count() == 1
+    assert max((len(r) for r in sent), default=0) <= 1
+
+
+def test_blocks_are_told_apart(monkeypatch):
+    monkeypatch.setattr(sinks, "BLOCK", 4)
+    lines = pa.RecordBatch.from_pydict({"line": ["ab", "ab", "cd", "ef"]})
+    out = [r for b in sinks._blocks(iter([lines, pa.RecordBatch.from_pydict({"line": ["ef", "g"]})])) for r in b.to_pylist()]
+    assert out == [{"first": "ab", "text": "ab\ncd\n"}, {"first": "ef", "text": "ef\ng\n"}]

@@ -121,3 +121,12 @@ def test_khop_and_telemetry(spark):
     lit = spark.createDataFrame([("<a>", "<u:n>", '"S-1"'), ("_:b", "<u:n>", '"S-1"')], "s string, p string, o string")
     assert [r["seed"] for r in R.literal_seeds(lit, '?x :n "S-1"', "u:").collect()] == ["<a>"]
     assert R.retrieval_text([], 1).endswith("seeds=[UNSEEDED (full union graph)])")
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_khop_of_repeated_triples(spark, monkeypatch, few):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", few)
+    t = [("<a>", "<p>", "<b>"), ("<b>", "<p>", "<c>"), ("<c>", "<q>", '"x"'), ("<d>", "<p>", "<a>"), (None, "<p>", "<z>"), ("<z>", "<p>", None), (None, "<p>", "<a>")]
+    df = spark.createDataFrame(t * 3, "s string, p string, o string")
+    got = [tuple(r) for r in R.khop(df, spark.createDataFrame([("<a>",)], "n string")).collect()]
+    assert sorted(got, key=str) == sorted([t[0], t[1], t[3], t[6]], key=str)
