@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..operators.closure import closure
-from ..session import cut
+from ..session import cut, cut_count
 from .algebra import Bgp, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Pattern, Query, Union, Values, Var
 from .sparql import SparqlError, parse
 
 
 #: Most pairs of solutions that parts of a pattern without a common variable may make.
 PRODUCT_ROWS = 10_000_000
+#: Most rows of the beginning of a path that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass
@@ -103,11 +105,7 @@ class Planner:
             back = self.path(args[0], o.select(F.col("o").alias("s")) if o is not None else None, s.select(F.col("s").alias("o")) if s is not None else None)
             return back.select(F.col("o").alias("s"), F.col("s").alias("o"))
         if op == "seq":
-            out = self.path(args[0], s, None)
-            for step in args[1:]:
-                nxt = self.path(step, None, None).select(F.col("s").alias("m"), F.col("o").alias("e"))
-                out = out.select("s", F.col("o").alias("m")).join(nxt, "m").select("s", F.col("e").alias("o"))
-            return out
+            return self.sequence(args, s, o)
         if op == "alt":
             return reduce(DataFrame.unionByName, [self.path(a, s, o) for a in args])
         step = self.path(args[0], None, None)
@@ -130,6 +128,30 @@ class Planner:
             same = t.select("s").union(t.select("o")).distinct().select("s", F.col("s").alias("o"))
         return pairs.unionByName(same).distinct()
 
+    def sequence(self, steps: tuple, s: DataFrame | None, o: DataFrame | None) -> DataFrame:
+        """(s, o) pairs of steps one behind the other, as often as there are ways. From a bound end each step starts at
+        the nodes reached before it; only without one the steps are joined as a whole."""
+        if s is None and o is not None:
+            back = self.sequence(tuple(Path("inv", (x,)) for x in reversed(steps)), o.select(F.col("o").alias("s")), None)
+            return back.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        out = None
+        for k, step in enumerate(steps):
+            ends, few = None, False
+            if s is not None:
+                have, n = cut_count(s if out is None else out)
+                few = n <= BROADCAST_ROWS
+                ends = have.select(F.col("s" if out is None else "o").alias("s")).distinct()
+                ends = F.broadcast(ends) if few else ends
+                out = None if out is None else have
+            nxt = self.path(step, ends, o if k == len(steps) - 1 else None)
+            if ends is not None:
+                nxt = nxt.join(ends, "s", "left_semi")
+            if out is not None:
+                first, then = out.select("s", F.col("o").alias("m")), nxt.select(F.col("s").alias("m"), F.col("o").alias("e"))
+                nxt = (F.broadcast(first) if few else first).join(then, "m").select("s", F.col("e").alias("o"))
+            out = nxt
+        return out
+
     def bgp(self, node: Bgp, given: Rel | None = None) -> Rel:
         """Patterns joined in an order that stays connected. Groups of patterns without a common variable are put
         together at the end."""

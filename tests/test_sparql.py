@@ -1,6 +1,7 @@
 import pytest
 
 from skylathe.functions.terms import RDF, XSD
+from skylathe.plans import planner
 from skylathe.plans.planner import run
 from skylathe.plans.sparql import SparqlError, parse
 from skylathe.plans.store import MappedStore, QuadStore
@@ -162,3 +163,29 @@ def test_products_are_refused_above_a_size(store, monkeypatch):
     with pytest.raises(SparqlError):
         run(store, P + text)
     assert rows(store, "SELECT ?c { :a a :F . ?c :n 3 }") == [("a",)]
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_sequences_start_at_the_bound_end(spark, monkeypatch, few):
+    """Between 3,000 nodes on either side of a hub a whole join would have 9,000,000 pairs; from the start there are few."""
+    seen, written = [], planner.cut_count
+    monkeypatch.setattr(planner, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(planner, "cut_count", lambda df: seen.append(out := written(df)) or out)
+    edges = [(n("a"), n("hub")), (n("b"), n("a")), (n("b"), n("hub")), (n("hub"), n("z"))] + [(n(f"i{k}"), n("hub")) for k in range(3000)] + [(n("hub"), n(f"o{k}")) for k in range(3000)]
+    st = MappedStore(spark, {n("dep"): spark.createDataFrame(edges, "s string, o string"), n("use"): spark.createDataFrame([(n("hub"), n("z")), (n("hub"), n("y")), (n("z"), n("w"))], "s string, o string")})
+    one = "SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?x) AS ?d) "
+    assert rows(st, one + "{ VALUES ?c { :a } ?c :dep/(:use|:dep) ?x }") == [("3003", "3002")]  # z by two ways
+    assert rows(st, one + "{ :a :dep/(:use|:dep) ?x }") == [("3003", "3002")]
+    assert rows(st, one + "{ ?x :dep/:use :y }") == [("3002", "3002")]
+    assert rows(st, one + "{ ?x :dep/:dep/:use :w }") == [("3002", "3002")]
+    assert rows(st, "SELECT ?x { VALUES ?c { :b } ?c :dep/:dep/:use ?x }") == [("w",), ("y",), ("z",)]
+    assert rows(st, "SELECT ?x { VALUES ?x { :y :w } :a :dep/:use ?x }") == [("y",)]
+    assert rows(st, "SELECT ?x { :y ^:use/^:dep ?x FILTER(STRENDS(STR(?x), 'b')) }") == [("b",)]
+    assert rows(st, "SELECT DISTINCT ?x { :b :dep+/:use ?x }") == [("w",), ("y",), ("z",)]
+    assert rows(st, "SELECT ?x { :z :dep?/:use* ?x }") == [("w",), ("z",)]
+    assert seen and max(n for _, n in seen) <= 3003
+
+
+def test_sequences_between_all_nodes(store):
+    assert rows(store, "SELECT ?s ?o { ?s :dep/:dep ?o }") == [("a", "c"), ("b", "a"), ("b", "d"), ("c", "b")]
+    assert rows(store, "SELECT ?s ?o { ?s :dep/:label ?o }") == [("c", 'say "hi"\n'), ("c", "x"), ("c", "x")]
